@@ -92,11 +92,18 @@ def resolve_usage(payload: Column, prompt: Column, completion: Column) -> Column
 
 
 def llm_cost(prompt_tokens: Column, completion_tokens: Column, model: Column) -> Column:
-    """Dollars for a call, at the higher rates if the model name holds `pro`."""
+    """Dollars for a call to 8 decimals, at the higher rates if the model name holds `pro`.
+
+    Counted in units of 1e-8 dollars, where the rates are exact, so halves round up for certain.
+    """
     pro = model.contains("pro")
-    rate_in = F.when(pro, F.lit(PRO_INPUT_RATE)).otherwise(F.lit(INPUT_RATE)) / 1e6
-    rate_out = F.when(pro, F.lit(PRO_OUTPUT_RATE)).otherwise(F.lit(OUTPUT_RATE)) / 1e6
-    return F.round(prompt_tokens * rate_in + completion_tokens * rate_out, 8)
+
+    def units(rate: float) -> Column:
+        return F.lit(round(rate * 100, 6))
+
+    rate_in = F.when(pro, units(PRO_INPUT_RATE)).otherwise(units(INPUT_RATE))
+    rate_out = F.when(pro, units(PRO_OUTPUT_RATE)).otherwise(units(OUTPUT_RATE))
+    return F.round(prompt_tokens * rate_in + completion_tokens * rate_out) / 1e8
 
 
 def stage_label(stage: Column) -> Column:

@@ -156,11 +156,11 @@ def knn_join(
         train = train.withColumn("_cell", F.lit(0))
         visits = queries.withColumn("_cell", F.lit(0))
     else:
-        train = _assign_cells(train, centres, metric, p)
-        visits = _visited_cells(queries, train, centres, metric, p, k + int(exclude_self))
-    if len(centres) > 1:
-        # Counts below and the join must see one and the same assignment.
-        train, visits = materialize(train), materialize(visits)
+        # Written once: the statistics, the counts and the join below all read them. Cells are
+        # kept as an array per query until then, so vectors are not stored once per visit.
+        train = materialize(_assign_cells(train, centres, metric, p))
+        visited = materialize(_visited_cells(queries, train, centres, metric, p, k + int(exclude_self)))
+        visits = visited.select(*queries.columns, F.explode("_visit").alias("_cell"))
 
     cells = ["_w", "_cell"]
     sizes = train.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_parts"))
@@ -212,7 +212,7 @@ def _assign_cells(train: DataFrame, centres: np.ndarray, metric: str, p: float)
 def _visited_cells(
     queries: DataFrame, train: DataFrame, centres: np.ndarray, metric: str, p: float, needed: int
 ) -> DataFrame:
-    """Queries repeated for every cell that may hold one of their `needed` nearest rows."""
+    """Queries with the cells that may hold one of their `needed` nearest rows."""
     rows = train.groupBy("_w", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_reach").alias("r"))
     # One array per class, at most one entry per pivot.
     per_class = rows.groupBy("_w").agg(
@@ -247,7 +247,7 @@ def _visited_cells(
         F.transform(F.map_values("_cells"), lambda s: s["n"]).alias("_ns"),
         F.transform(F.map_values("_cells"), lambda s: s["r"]).alias("_rs"),
     )
-    return spread.select(*queries.columns, F.explode(visit("_v", "_ids", "_ns", "_rs")).alias("_cell"))
+    return spread.select(*queries.columns, visit("_v", "_ids", "_ns", "_rs").alias("_visit"))
 
 
 def knn_classify(

@@ -12,25 +12,32 @@ from tabulark.functions.columns import column
 from tabulark.session import materialize
 
 
+def settle(frame: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
+    """The frame computed once, and whether it is small enough to broadcast.
+
+    Up to `max_rows` rows are held by the driver, more are written to shared storage.
+    """
+    rows = frame.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return frame.sparkSession.createDataFrame(rows, frame.schema), True
+    return materialize(frame), False
+
+
 def join_lookup(
     df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = LOOKUP_ROWS
 ) -> DataFrame:
     """Join `lookup` (unique in `on`, NULL matches NULL) to `df`.
 
     The lookup is computed once. With at most `max_rows` rows it is broadcast, so `df` is
-    not shuffled. A larger one is kept in shared storage and joined by shuffle, where
-    adaptive execution splits hot keys.
+    not shuffled. A larger one is joined by shuffle, where adaptive execution splits hot keys.
     """
-    spark = df.sparkSession
     renamed = lookup.select(
         *[column(c).alias(f"_on_{i}") for i, c in enumerate(on)],
         *[column(c) for c in lookup.columns if c not in on],
     )
-    rows = renamed.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        side = F.broadcast(spark.createDataFrame(rows, renamed.schema))
-    else:
-        side = materialize(renamed)
+    side, small = settle(renamed, max_rows)
+    if small:
+        side = F.broadcast(side)
     condition = F.lit(True)
     for i, c in enumerate(on):
         condition = condition & column(c).eqNullSafe(F.col(f"_on_{i}"))

@@ -178,15 +178,23 @@ def fit_encode_onehot(
     sparse vector column with the same slots.
     """
     columns = list(columns)
+    if not columns:
+        return Fitted(lambda d: d)
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("k"), column(c).cast("string").alias("v")) for i, c in enumerate(columns)]
+    )
+    distinct = df.select(F.inline(cells)).filter("v IS NOT NULL").distinct().persist()
+    sizes = {r["k"]: r["count"] for r in distinct.groupBy("k").count().collect()}
+    narrow = [i for i in range(len(columns)) if sizes.get(i, 0) <= max_columns + 1]
+    found: dict[int, list] = {i: [] for i in narrow}
+    for r in distinct.filter(F.col("k").isin(narrow)).collect():  # at most max_columns + 1 a column
+        found[r["k"]].append(r["v"])
+    distinct.unpersist()
     values: dict[str, list] = {}
-    wide: dict[str, DataFrame] = {}
-    for c in columns:
-        distinct = df.select(column(c).alias("v")).filter("v IS NOT NULL").distinct()
-        found = [r["v"] for r in distinct.limit(max_columns + 2).collect()]
-        if len(found) <= max_columns + 1:
-            values[c] = sorted(found)
-        else:
-            wide[c] = category_dictionary(df, c, None, hot_rows)
+    for i in narrow:
+        boolean = isinstance(df.schema[columns[i]].dataType, T.BooleanType)
+        values[columns[i]] = [v == "true" for v in sorted(found[i])] if boolean else sorted(found[i])
+    wide = {c: category_dictionary(df, c, None, hot_rows) for i, c in enumerate(columns) if i not in narrow}
 
     def apply(d: DataFrame) -> DataFrame:
         keep = [column(c) for c in d.columns if c not in values]  # sparse columns included

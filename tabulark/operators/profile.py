@@ -84,55 +84,79 @@ def in_class_order(distribution: DataFrame) -> DataFrame:
     return distribution.orderBy(F.desc("count"), "class")
 
 
+class _Scan:
+    """Scalars of all columns from one pass: rows, missing cells, moments and range."""
+
+    def __init__(self, df: DataFrame, numeric: Sequence[str], missing: Sequence[str] = ()):
+        moments = (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
+        row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(missing)],
+            *[fn(number(df, c)).alias(f"{name}{i}") for i, c in enumerate(numeric) for name, fn in moments],
+        ).first()
+        self.rows = row["rows"]
+        self.missing = {c: row[f"m{i}"] for i, c in enumerate(missing)}
+        self.moments = {c: {name: row[f"{name}{i}"] for name, _ in moments} for i, c in enumerate(numeric)}
+
+    def complete(self, name: str) -> bool:
+        return self.moments[name]["n"] == self.rows
+
+    def constant(self, name: str) -> bool:
+        return not self.moments[name]["std"]
+
+
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], _STATISTICS)
-    quartiles = exact_quantiles(df, columns, _QUARTILES)
-    aggregates = []
-    for i, c in enumerate(columns):
-        value = number(df, c)
-        for name, fn in (
-            ("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)
-        ):
-            aggregates.append(fn(value).alias(f"{name}{i}"))
-    row = df.agg(*aggregates).first()
+        return df.sparkSession.createDataFrame([], _STATISTICS)
+    return _describe(df, columns, _Scan(df, columns))
+
+
+def _describe(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
+    quartiles = exact_quantiles(df, columns, _QUARTILES, rows=scan.rows)
     records = [
-        (c, row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"], *quartiles[c], row[f"max{i}"])
-        for i, c in enumerate(columns)
+        (c, m["n"], m["mean"], m["std"], m["min"], *quartiles[c], m["max"])
+        for c, m in ((c, scan.moments[c]) for c in columns)
     ]
-    return spark.createDataFrame(records, _STATISTICS)
+    return df.sparkSession.createDataFrame(records, _STATISTICS)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Absolute Pearson correlation of every numeric pair over the rows that have both values.
 
-    NULL where a column is constant. Wide tables without missing values go through one
-    matrix pass; other pairs are computed a few hundred to a scan.
+    NULL where a column is constant. Two columns without missing values need one covariance;
+    wide tables of such columns go through one matrix pass. Other pairs are computed on
+    their common rows, a few hundred to a scan.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
+    return _correlate(df, columns, _Scan(df, columns))
+
+
+def _correlate(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
     pairs = list(combinations(columns, 2))
-    spark = df.sparkSession
-    values: dict[tuple[str, str], float | None] = {}
-    if len(columns) > _MATRIX_COLUMNS:
-        whole = df.agg(*[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-        complete = [c for i, c in enumerate(columns) if whole[f"m{i}"] == 0]
-        if len(complete) > 1:
-            values.update(_matrix_pairs(df, complete))
+    values: dict[tuple[str, str], float | None] = {
+        p: None for p in pairs if scan.constant(p[0]) or scan.constant(p[1])
+    }
+    complete = [c for c in columns if scan.complete(c) and not scan.constant(c)]
+    if len(complete) > _MATRIX_COLUMNS:
+        values.update(_matrix_pairs(df, complete))
     left = [p for p in pairs if p not in values]
     for start in range(0, len(left), _PAIRS_PER_SCAN):
         batch = left[start : start + _PAIRS_PER_SCAN]
         aggregates = []
         for i, (a, b) in enumerate(batch):
-            x, y = number(df, a), number(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-            aggregates.append(F.abs(ratio(F.covar_pop(x, y), spread)).alias(f"r{i}"))
+            if scan.complete(a) and scan.complete(b):
+                spread = scan.moments[a]["std"] * scan.moments[b]["std"]
+                r = F.covar_samp(column(a).cast("double"), column(b).cast("double")) / F.lit(spread)
+            else:
+                x, y = number(df, a), number(df, b)
+                both = x.isNotNull() & y.isNotNull()
+                r = ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+            aggregates.append(F.abs(r).alias(f"r{i}"))
         row = df.agg(*aggregates).first()
         values.update({p: row[f"r{i}"] for i, p in enumerate(batch)})
-    return spark.createDataFrame([(a, b, values[a, b]) for a, b in pairs], _CORRELATIONS)
+    return df.sparkSession.createDataFrame([(a, b, values[a, b]) for a, b in pairs], _CORRELATIONS)
 
 
 def _matrix_pairs(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
@@ -148,7 +172,10 @@ def _matrix_pairs(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], fl
 
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
     """The n strongest pairs."""
-    pairs = correlations(df, columns)
+    return _strongest(correlations(df, columns), n)
+
+
+def _strongest(pairs: DataFrame, n: int = 10) -> DataFrame:
     return pairs.orderBy(F.desc_nulls_last("correlation"), "col_a", "col_b").limit(n)
 
 
@@ -173,52 +200,43 @@ def dataset_profile(df: DataFrame, target: str) -> DataFrame:
 
 
 def profile(df: DataFrame, target: str) -> DataFrame:
-    """Everything about a dataset as rows of (section, name, item, value)."""
-    numeric = numeric_columns(df)
-
-    def rows(frame, section, name, item, value):
-        return frame.select(
-            F.lit(section).alias("section"),
-            name.cast("string").alias("name"),
-            item.cast("string").alias("item"),
-            value.cast("double").alias("value"),
-        )
-
-    counts = missing_counts(df)
-    cells = len(df.columns)
-    total = sum((F.col(f"m{i}") for i in range(cells)), F.lit(0).cast("bigint"))
+    """Everything about a dataset as rows of (section, name, item, value).
 
-    def cell(section, name, value):
-        return F.struct(
-            F.lit(section).alias("section"),
-            F.lit(name).alias("name"),
-            F.lit(None).cast("string").alias("item"),
-            value.cast("double").alias("value"),
+    One pass for all scalars, one for the quartiles, one for the correlations; classes are counted when
+    the result is read, and stay rows however many there are.
+    """
+    spark, numeric = df.sparkSession, numeric_columns(df)
+    scan = _Scan(df, numeric, df.columns)
+    cells, gaps = scan.rows * len(df.columns), sum(scan.missing.values())
+    header = [
+        ("table", "rows", None, float(scan.rows)),
+        ("table", "columns", None, float(len(df.columns))),
+        ("table", "missing_pct", None, 100.0 * gaps / cells if cells else None),
+        *[("missing", c, None, float(n)) for c, n in scan.missing.items() if n],
+    ]
+    result = spark.createDataFrame(header, "section string, name string, item string, value double")
+
+    def add(frame, section, name, item, value):
+        return result.unionByName(
+            frame.select(
+                F.lit(section).alias("section"),
+                name.cast("string").alias("name"),
+                item.cast("string").alias("item"),
+                value.cast("double").alias("value"),
+            )
         )
 
-    table = F.array(
-        cell("table", "rows", F.col("n_rows")),
-        cell("table", "columns", F.lit(cells)),
-        cell("table", "missing_pct", ratio(total, F.col("n_rows") * cells) * 100),
-        *[cell("missing", c, F.when(F.col(f"m{i}") > 0, F.col(f"m{i}"))) for i, c in enumerate(df.columns)],
-    )
-    header = counts.select(F.inline(table)).filter("section = 'table' OR value IS NOT NULL")
-    parts = [header]
     classes = class_distribution(df, target)
     if classes is not None:
-        parts.append(rows(classes, "class", F.lit(target), F.col("class"), F.col("count")))
+        result = add(classes, "class", F.lit(target), F.col("class"), F.col("count"))
     if numeric:
-        statistics = describe_numeric(df, numeric)
         items = [f.name for f in _STATISTICS if f.name != "column"]
         long = F.array(*[F.struct(F.lit(i).alias("i"), F.col(i).cast("double").alias("v")) for i in items])
-        parts.append(rows(statistics.select("column", F.inline(long)), "statistics", F.col("column"), F.col("i"), F.col("v")))
+        statistics = _describe(df, numeric, scan).select("column", F.inline(long))
+        result = add(statistics, "statistics", F.col("column"), F.col("i"), F.col("v"))
     if len(numeric) > 1:
-        parts.append(
-            rows(top_correlations(df, numeric), "correlation", F.col("col_a"), F.col("col_b"), F.col("correlation"))
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+        strongest = _strongest(_correlate(df, numeric, scan))
+        result = add(strongest, "correlation", F.col("col_a"), F.col("col_b"), F.col("correlation"))
     return result
 
 

@@ -22,10 +22,11 @@ def exact_quantiles(
     probabilities: Sequence[float],
     max_buffer_rows: int = EXACT_PERCENTILE_ROWS,
     hot_rows: int = HOT_GROUP_ROWS,
+    rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, as fitted parameters on the driver.
 
-    Small tables use `percentile`. Larger ones are read twice: a sketch brackets each
+    Small tables use `percentile`; `rows` saves counting where the caller knows the number. Larger ones are read twice: a sketch brackets each
     quantile, then only the rows inside the brackets (about 1 in 500) are counted by
     value, which gives the exact order statistics. A bracket that turns out not to hold
     its quantile is widened to the whole column.
@@ -35,7 +36,7 @@ def exact_quantiles(
     data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = data.columns
     probabilities = [float(p) for p in probabilities]
-    if data.limit(max_buffer_rows + 1).count() <= max_buffer_rows:
+    if (data.count() if rows is None else rows) <= max_buffer_rows:
         row = data.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in names]).first()
         return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities) for c, n in zip(columns, names)}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulark.config import SEED
 from tabulark.functions.columns import column, digest_int, row_digest
 from tabulark.operators.knn import knn_join
-from tabulark.operators.lookup import join_lookup
+from tabulark.operators.lookup import join_lookup, settle
 from tabulark.operators.ordered import mark_first
 
 logger = logging.getLogger(__name__)
@@ -21,16 +21,17 @@ _COPIES_PER_ROW = 1000  # more copies of one row are spread over tasks
 
 
 def class_needs(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, need): rows per class and how many it lacks. One row per class."""
-    counts = df.groupBy(column(label).alias(label)).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).scalar()
-    return counts.withColumn("need", largest - F.col("n"))
+    """(label, n, need): rows per class and how many it lacks. One row per class, counted once."""
+    counts, _ = settle(df.groupBy(column(label).alias(label)).agg(F.count(F.lit(1)).alias("n")))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    return counts.withColumn("need", F.lit(largest) - F.col("n"))
 
 
-def _with_draws(df: DataFrame, label: str, keys: Sequence[str], seed: int, purpose: str) -> DataFrame:
+def _with_draws(
+    df: DataFrame, needs: DataFrame, label: str, keys: Sequence[str], seed: int, purpose: str
+) -> DataFrame:
     """Each row with the number of extra rows it gives: need div n, and one more for the
     first need mod n rows of its class in hash order."""
-    needs = class_needs(df, label)
     quota = needs.select(column(label), F.expr("need % n").alias("quota"))
     marked = mark_first(df, [label], keys, quota, purpose, seed, "_extra")
     whole = needs.select(column(label), F.expr("need div n").alias("_whole"))
@@ -38,10 +39,10 @@ def _with_draws(df: DataFrame, label: str, keys: Sequence[str], seed: int, purpo
     return joined.withColumn("_draws", F.col("_whole") + F.col("_extra").cast("int")).drop("_whole", "_extra")
 
 
-def _numbered_draws(df: DataFrame, keys: Sequence[str], first: int, name: str) -> DataFrame:
+def _numbered_draws(df: DataFrame, needs: DataFrame, keys: Sequence[str], first: int, name: str) -> DataFrame:
     """One row per number from `first` to `_draws`; long runs are cut and spread first."""
-    most = df.agg(F.max("_draws")).first()[0] or 0
-    if most <= _COPIES_PER_ROW:
+    most = needs.agg(F.max(F.expr("need div n"))).first()[0] or 0
+    if most < _COPIES_PER_ROW:
         numbers = F.when(F.col("_draws") >= first, F.sequence(F.lit(first).cast("bigint"), F.col("_draws")))
         return df.withColumn(name, F.explode(numbers)).drop("_draws")
     size = F.lit(_COPIES_PER_ROW).cast("bigint")
@@ -57,7 +58,8 @@ def oversample_random(
     df: DataFrame, label: str, keys: Sequence[str], seed: int = SEED, copy: str = "copy"
 ) -> DataFrame:
     """All rows (copy 0) and repeats of the smaller classes' rows (copy 1, 2, …)."""
-    return _numbered_draws(_with_draws(df, label, keys, seed, "oversample"), keys, 0, copy)
+    needs = class_needs(df, label)
+    return _numbered_draws(_with_draws(df, needs, label, keys, seed, "oversample"), needs, keys, 0, copy)
 
 
 def oversample_smote(
@@ -92,8 +94,8 @@ def oversample_smote(
     per_row = ends.groupBy(F.col("query_key").alias(key)).agg(
         F.sort_array(F.collect_list(F.struct("rank", "_end"))).alias("_ends")
     )
-    base = _with_draws(originals, label, [key], seed, "smote").filter("_draws > 0").join(per_row, key)
-    drawn = _numbered_draws(base, [key], 1, draw)
+    base = _with_draws(originals, needs, label, [key], seed, "smote").filter("_draws > 0").join(per_row, key)
+    drawn = _numbered_draws(base, needs, [key], 1, draw)
     digest = smote_digest(key, draw, seed)
     chosen = F.col("_ends")[(F.pmod(digest_int(digest, 1), F.size("_ends"))).cast("int")]["_end"]
     share = digest_int(digest, 9) / F.lit(4294967296.0)

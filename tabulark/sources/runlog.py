@@ -91,8 +91,11 @@ def complete_traces(traces: DataFrame) -> DataFrame:
 
 
 def _append(df: DataFrame, path: str, partition_by: str | None) -> None:
-    writer = df.write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    if partition_by is None:
+        df.write.mode("append").parquet(path)
+    else:
+        # Few files per folder, and a hot folder is still written by many tasks.
+        df.hint("rebalance", partition_by).write.mode("append").partitionBy(partition_by).parquet(path)
 
 
 def append_runs(runs: DataFrame, path: str, partition_by: str | None = None) -> None:

@@ -203,7 +203,7 @@ def _fit_svm(model: Candidate, train: DataFrame, classes: int | None, key: str |
     p = model.params
     lift = kernel_features(train, p.get("kernel", "rbf"), p.get("gamma", "scale"))
     penalty = 1.0 / (p.get("C", 1.0) * _rows(train))
-    iterations = int(p.get("max_iter", 50))
+    iterations = int(p.get("max_iter", 100))  # the robust loss needs about as many
     lifted = lift(train).persist()
     try:
         if model.problem_type != "classification":

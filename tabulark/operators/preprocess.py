@@ -239,6 +239,11 @@ def fill_remaining(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 # Selection and projection
 
 
+def _f_value(explained: Column, left: Column) -> Column:
+    """Infinite where nothing is left to explain, NULL where there was nothing to begin with."""
+    return F.when((left <= 0) & (explained > 0), F.lit(float("inf"))).otherwise(ratio(explained, left))
+
+
 def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """One-way analysis of variance per feature as (feature, score), in one grouped pass.
 
@@ -261,7 +266,7 @@ def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     for i, f in enumerate(features):
         between = F.col(f"b{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")
         within = F.col(f"q{i}") - F.col(f"b{i}")
-        score = ratio(ratio(between, F.col("k") - 1), ratio(within, F.col("n") - F.col("k")))
+        score = _f_value(ratio(between, F.col("k") - 1), ratio(within, F.col("n") - F.col("k")))
         cells.append(F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), score.alias("score")))
     return row.select(F.inline(F.array(*cells)))
 
@@ -274,7 +279,7 @@ def f_regression(df: DataFrame, features: Sequence[str], label: str) -> DataFram
         x = number(df, f)
         aggregates += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"s{i}")]
         r = ratio(F.col(f"c{i}"), F.col(f"s{i}") * F.col("sy"))
-        score = ratio(r * r, 1 - r * r) * (F.col("n") - 2)
+        score = _f_value(r * r, F.greatest(1 - r * r, F.lit(0.0))) * (F.col("n") - 2)
         cells.append(F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), score.alias("score")))
     return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 

@@ -147,8 +147,10 @@ def _correlate(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
         aggregates = []
         for i, (a, b) in enumerate(batch):
             if scan.complete(a) and scan.complete(b):
-                spread = scan.moments[a]["std"] * scan.moments[b]["std"]
-                r = F.covar_samp(column(a).cast("double"), column(b).cast("double")) / F.lit(spread)
+                # Means are known, so one sum of centred products is all a pair costs.
+                x, y = (column(c).cast("double") - F.lit(scan.moments[c]["mean"]) for c in (a, b))
+                spread = (scan.rows - 1) * scan.moments[a]["std"] * scan.moments[b]["std"]
+                r = F.sum(x * y) / F.lit(spread)
             else:
                 x, y = number(df, a), number(df, b)
                 both = x.isNotNull() & y.isNotNull()

@@ -52,6 +52,8 @@ def exact_quantiles(
                 low, high = sketch[f"q_{n}"][2 * j : 2 * j + 2]
                 brackets[n, j] = (-math.inf if p <= _MARGIN else low, math.inf if p >= 1 - _MARGIN else high)
     counts = {n: sketch[f"n_{n}"] for n in names}
+    if not brackets:
+        return {c: [None] * len(probabilities) for c in columns}
     found = _select(data, brackets, counts, probabilities, hot_rows)
     missed = {k: (-math.inf, math.inf) for k in brackets if found.get(k) is None}
     if missed:

@@ -158,7 +158,7 @@ def _quality(spark, sf):
     return prepare_data(df, "target", "doc_id", default_feature_plan(len(df.columns)), "classification")
 
 
-def _statuses(spark, sf, *columns):
+def _statuses(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
     return prepare_data(df, "o_orderstatus", "o_orderkey", default_feature_plan(4), "classification")
 
@@ -219,7 +219,9 @@ def _(spark, sf):
 
 @CHECKS.query("train_svm_regression")
 def _(spark, sf):
-    return _scores(spark, _prices(spark, sf), "svm", "regression", ["rmse", "mae", "r2"], {"max_iter": 10})
+    df = labelled(spark, sf).select("doc_id", "lang", "n_words", "n_lines", F.col("n_chars").alias("target"))
+    data = prepare_data(df, "target", "doc_id", default_feature_plan(4), "regression")
+    return _scores(spark, data, "svm", "regression", ["rmse", "mae", "r2"], {"max_iter": 50})
 
 
 @CHECKS.query("predict")

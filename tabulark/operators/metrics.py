@@ -136,24 +136,34 @@ def score_predictions(
 ) -> tuple[dict[str, float | None], str | None]:
     """The requested metrics as a dictionary, and the message of those that failed.
 
-    A metric that cannot be computed is None, never 0.
+    A metric that cannot be computed is None, never 0. Predictions are kept while they are
+    scored, because several jobs read them.
     """
-    if problem_type != "classification":
-        wanted = [m for m in metrics if m in REGRESSION_NAMES]
-        return (regression_metrics(predictions, label, prediction, wanted).first().asDict() if wanted else {}), None
+    columns = [c for c in (label, prediction, scores) if c in predictions.columns]
+    kept = predictions.select(*[column(c) for c in columns]).persist()
+    try:
+        if problem_type == "classification":
+            values = _class_scores(kept, metrics, label, prediction, scores, average)
+        else:
+            wanted = [m for m in metrics if m in REGRESSION_NAMES]
+            values = regression_metrics(kept, label, prediction, wanted).first().asDict() if wanted else {}
+    finally:
+        kept.unpersist()
+    failed = [m for m, v in values.items() if v is None]
+    return values, f"not defined for these predictions: {', '.join(failed)}" if failed else None
+
+
+def _class_scores(kept, metrics, label, prediction, scores, average) -> dict[str, float | None]:
     values: dict[str, float | None] = {}
     plain = [m for m in metrics if m in CLASSIFICATION]
     if plain:
-        values.update(classification_metrics(predictions, label, prediction, plain, average).first().asDict())
+        values.update(classification_metrics(kept, label, prediction, plain, average).first().asDict())
     if "roc_auc" in metrics:
         values["roc_auc"] = None
-        if scores in predictions.columns:
-            width = predictions.select(F.size(column(scores)).alias("n")).limit(1).collect()
-            if width and width[0]["n"] > 2:
-                area = roc_auc_ovr(predictions, label, scores)
+        if scores in kept.columns:
+            width = kept.select(F.size(column(scores)).alias("n")).first()
+            if width is not None and width["n"] > 2:
+                values["roc_auc"] = roc_auc_ovr(kept, label, scores).first()[0]
             else:
-                area = roc_auc(predictions, label, column(scores)[1])
-            values["roc_auc"] = area.first()[0]
-    failed = [m for m, v in values.items() if v is None]
-    note = f"not defined for these predictions: {', '.join(failed)}" if failed else None
-    return {m: values[m] for m in metrics if m in values}, note
+                values["roc_auc"] = roc_auc(kept, label, column(scores)[1]).first()[0]
+    return {m: values[m] for m in metrics if m in values}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulark.operators.knn import knn_classify, knn_join
+from tabulark.operators.knn import knn_classify, knn_join, knn_regress
 from tabulark.operators.metrics import classification_metrics, regression_metrics, roc_auc, roc_auc_ovr, score_predictions
 from tabulark.operators.models import make_model
 from tabulark.operators.preprocess import assemble
@@ -12,7 +12,7 @@ from tabulark.operators.split import train_test_split
 from tabulark.operators.tuning import cross_val_score, runs_frame, search_space, train_candidates, tune
 from tabulark.plans.experiment import prepare_data, run_experiment
 from tabulark.plans.goals import default_feature_plan
-from workload.common import LABELLED_SQL, Checks, labelled, rounded, table, unit_sql
+from workload.common import LABELLED_SQL, Checks, hash_sql, labelled, rounded, table, unit_sql
 
 CHECKS = Checks()
 
@@ -152,6 +152,64 @@ def _(spark, sf):
     return knn_classify(found, "label", 10).select(F.col("query_key").alias("vec_id"), "prediction")
 
 
+_RIDGE = """covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 5.0) AS w, avg(x) AS mx, avg(y) AS my"""
+
+
+@CHECKS.query(
+    "train_knn_regression",
+    f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label, {unit_sql('vec_id', 'split')} < 0.2 AS test FROM embeddings),
+    d AS (SELECT a.vec_id, b.vec_id AS near, b.label, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.test AND NOT b.test),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, near) AS rank FROM d)
+    SELECT vec_id, round(sum(label / distance) / sum(1 / distance), 8) AS prediction FROM r WHERE rank <= 7 GROUP BY vec_id""",
+)
+def _(spark, sf):
+    split = train_test_split(table(spark, sf, "embeddings"), ["vec_id"])
+    test, train = split.filter("split = 'test'"), split.filter("split = 'train'")
+    found = knn_join(test, train, 7, "vec_id", "vec_id", "embedding", "embedding", carry="label")
+    return rounded(knn_regress(found, "label", "distance").withColumnRenamed("query_key", "vec_id"), 8, "prediction")
+
+
+def _words(spark, sf):
+    """Length of a document from its number of words."""
+    documents = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("row_key"),
+        F.size(F.split("text", " ")).alias("n_words"),
+        F.col("n_chars").cast("double").alias("label"),
+    )
+    return assemble(documents, ["n_words"])
+
+
+_WORDS_SQL = "SELECT doc_id::VARCHAR AS row_key, len(string_split(text, ' '))::DOUBLE AS x, n_chars::DOUBLE AS y FROM documents"
+
+
+@CHECKS.query(
+    "predict_ridge",
+    f"""WITH d AS ({_WORDS_SQL}), s AS (SELECT *, {unit_sql('row_key', 'split')} < 0.2 AS test FROM d),
+    f AS (SELECT {_RIDGE} FROM s WHERE NOT test)
+    SELECT row_key, y AS label, round(my + w * (x - mx), 4) AS prediction FROM s, f WHERE test""",
+)
+def _(spark, sf):
+    split = train_test_split(_words(spark, sf), ["row_key"])
+    predict = make_model("logistic_regression", "regression", {"alpha": 5.0}).fit(split.filter("split = 'train'"))
+    predicted = predict(split.filter("split = 'test'"))
+    return rounded(predicted.select("row_key", "label", "prediction"), 4, "prediction")
+
+
+@CHECKS.query(
+    "cross_val_score_ridge",
+    f"""WITH d AS ({_WORDS_SQL}), k AS (SELECT *, (row_number() OVER (ORDER BY {hash_sql('row_key', 'fold')}, row_key) - 1) % 5 AS fold FROM d),
+    f AS (SELECT t.fold, {_RIDGE} FROM (SELECT DISTINCT fold FROM k) t JOIN k ON k.fold <> t.fold GROUP BY t.fold),
+    e AS (SELECT k.fold, sqrt(avg(pow(y - my - w * (x - mx), 2))) AS rmse FROM k JOIN f ON k.fold = f.fold GROUP BY k.fold)
+    SELECT round(avg(rmse), 4) AS rmse FROM e""",
+)
+def _(spark, sf):
+    data = _words(spark, sf).persist()
+    score = cross_val_score(data, "logistic_regression", "regression", {"alpha": 5.0}, "rmse", "row_key", 5)
+    data.unpersist()
+    # The score is a number of the driver, as the operator returns it.
+    return spark.createDataFrame([(score,)], "rmse double").select(F.round("rmse", 4).alias("rmse"))
+
+
 def _quality(spark, sf):
     """Prepared quality data: a binary target with two classes of unequal size."""
     df = labelled(spark, sf)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabulark.config import HOT_GROUP_ROWS
 from tabulark.functions.columns import column, hash_int
-from tabulark.operators.lookup import join_lookup
+from tabulark.operators.lookup import join_lookup, settle
 from tabulark.session import materialize
 
 
@@ -105,53 +105,48 @@ def mark_first(
     df: DataFrame,
     by: Sequence[str],
     keys: Sequence[str],
-    quota: DataFrame,
+    quota: DataFrame | Column,
     purpose: str,
     seed: int,
     name: str,
 ) -> DataFrame:
     """Mark the first `quota` rows of each group in hash order, exactly.
 
-    `quota` holds `by` and `quota`; groups without an entry get none. The row that ends the quota is
-    found by counting hash prefixes (65,536 per group), then hashes below one prefix,
-    then rows of one hash. Only counts move, never the rows of a group.
+    `quota` is an expression of the group size `n`, or a frame of `by` and `quota`; groups without
+    an entry get none. The row that ends a quota is found by counting hash prefixes (65,536 per
+    group), then the rows below that one prefix. Only counts and those few rows move; the
+    table is read three times and never shuffled.
     """
+    groups = [column(c) for c in by]
     hashed = df.withColumn("_hash", hash_int(keys, purpose, seed))
     prefix = F.shiftright(F.col("_hash"), 16)
-
-    def boundary(counts: DataFrame, at: str, wanted: DataFrame) -> DataFrame:
-        window = _partition_by(by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-        running = counts.withColumn("_upto", F.sum("count").over(window))
-        return (
-            join_lookup(running, wanted, by, "inner")
-            .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("count") < F.col("quota")))
-            .select(
-                *[column(c) for c in by],
-                F.col(at).alias("_end"),
-                (F.col("quota") - F.col("_upto") + F.col("count")).alias("quota"),
-            )
-        )
-
-    groups = [column(c) for c in by]
-    quota = quota.select(*groups, F.col("quota").cast("bigint").alias("quota"))
-    by_prefix = hashed.groupBy(*groups, prefix.alias("_at")).count()
-    end_prefix = boundary(by_prefix, "_at", quota.filter("quota > 0"))
-    near = join_lookup(hashed.select(*groups, *[column(k) for k in keys if k not in by], "_hash"), end_prefix, by, "inner").filter(
-        prefix == F.col("_end")
-    )
-    by_hash = near.groupBy(*groups, F.col("_hash").alias("_at")).count()
-    end_hash = boundary(by_hash, "_at", end_prefix.drop("_end"))
-    tied = join_lookup(near.drop("_end", "quota"), end_hash, by, "inner").filter("_hash = _end")
+    by_prefix = materialize(hashed.groupBy(*groups, prefix.alias("_at")).agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = by_prefix.groupBy(*groups).agg(F.sum("_rows").alias("n"))
+    if isinstance(quota, Column):
+        wanted = sizes.withColumn("quota", quota.cast("bigint"))
+    else:
+        wanted = join_lookup(sizes, quota.select(*groups, F.col("quota").cast("bigint").alias("quota")), by)
+    wanted, _ = settle(wanted.withColumn("quota", F.coalesce("quota", F.lit(0))))
+
+    def end(counts: DataFrame, asked: DataFrame) -> DataFrame:
+        """Where in hash order each group's quota ends, and how much of it falls there."""
+        window = _partition_by(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        running = join_lookup(counts.withColumn("_upto", F.sum("_rows").over(window)), asked, by, "inner")
+        ends = (F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_rows") < F.col("quota"))
+        left = F.col("quota") - F.col("_upto") + F.col("_rows")
+        return running.filter(ends).select(*groups, F.col("_at").alias("_end"), left.alias("quota"))
+
+    ends = end(by_prefix, wanted.filter("quota > 0").select(*groups, "quota"))
+    own = [column(k) for k in keys if k not in by]
+    near = join_lookup(hashed.select(*groups, *own, "_hash"), ends, by, "inner").filter(prefix == F.col("_end"))
+    near = materialize(near.drop("_end", "quota"))
+    by_hash = near.groupBy(*groups, F.col("_hash").alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    # Rows of one 32-bit hash are few, so a window numbers them.
+    tied = join_lookup(near, end(by_hash, ends.drop("_end")), by, "inner").filter("_hash = _end")
+    place = F.row_number().over(_partition_by(by).orderBy(*[column(k) for k in keys]))
     last = F.struct(F.col("_hash"), *[column(k) for k in keys])
-    thresholds = (
-        tied.withColumn("_rn", F.row_number().over(_partition_by(by).orderBy(*[column(k) for k in keys])))
-        .filter("_rn = quota")
-        .select(*groups, last.alias("_last"))
-    )
-    sizes = by_prefix.groupBy(*groups).agg(F.sum("count").alias("_n"))
-    plan = join_lookup(join_lookup(sizes, quota, by), thresholds, by).select(
-        *groups, (F.coalesce("quota", F.lit(0)) >= F.col("_n")).alias("_all"), "_last"
-    )
-    marked = join_lookup(hashed, plan, by)
+    lasts = tied.withColumn("_place", place).filter("_place = quota").select(*groups, last.alias("_last"))
+    plan = join_lookup(wanted, lasts, by).select(*groups, (F.col("quota") >= F.col("n")).alias("_all"), "_last")
     taken = F.col("_all") | F.coalesce(last <= F.col("_last"), F.lit(False))
+    marked = join_lookup(hashed, plan, by)
     return marked.select(*[column(c) for c in df.columns], F.coalesce(taken, F.lit(False)).alias(name))

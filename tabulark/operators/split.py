@@ -33,9 +33,7 @@ def train_test_split(
         test = hash_unit(keys, "split", seed) < test_fraction
     else:
         by = [stratify] if stratify else []
-        quota = df.groupBy(*[column(c) for c in by]).agg(
-            F.round(F.count(F.lit(1)) * test_fraction).cast("bigint").alias("quota")
-        )
+        quota = F.round(F.col("n") * test_fraction)
         df = mark_first(df, by, keys, quota, "split", seed, "_test")
         test = F.col("_test")
     return df.withColumn(name, F.when(test, "test").otherwise("train")).drop("_test")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabulark.config import LOOKUP_ROWS
@@ -31,6 +31,8 @@ def join_lookup(
     The lookup is computed once. With at most `max_rows` rows it is broadcast, so `df` is
     not shuffled. A larger one is joined by shuffle, where adaptive execution splits hot keys.
     """
+    if not on:
+        return _with_constants(df, lookup, how)
     renamed = lookup.select(
         *[column(c).alias(f"_on_{i}") for i, c in enumerate(on)],
         *[column(c) for c in lookup.columns if c not in on],
@@ -42,3 +44,20 @@ def join_lookup(
     for i, c in enumerate(on):
         condition = condition & column(c).eqNullSafe(F.col(f"_on_{i}"))
     return df.join(side, condition, how).drop(*[f"_on_{i}" for i in range(len(on))])
+
+
+def _with_constants(df: DataFrame, lookup: DataFrame, how: str) -> DataFrame:
+    """A lookup without keys has at most one row: its values become constants of `df`."""
+    rows = lookup.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("a lookup without keys must have one row")
+    if not rows and how == "inner":
+        return df.withColumns({c: F.lit(None).cast(lookup.schema[c].dataType) for c in lookup.columns}).limit(0)
+
+    def constant(value, kind):
+        if isinstance(value, Row):
+            return F.struct(*[constant(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+        return F.lit(value).cast(kind)
+
+    values = rows[0] if rows else [None] * len(lookup.columns)
+    return df.withColumns({f.name: constant(v, f.dataType) for f, v in zip(lookup.schema, values)})

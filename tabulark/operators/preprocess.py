@@ -28,6 +28,7 @@ from tabulark.functions.columns import (
 from tabulark.operators.lookup import join_lookup
 from tabulark.operators.ordered import numbered
 from tabulark.operators.quantiles import exact_quantiles
+from tabulark.operators.scalars import collect_scalars
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -40,10 +41,9 @@ class Fitted:
     params: dict = field(default_factory=dict)
 
 
-def _one_row(df: DataFrame, columns: Sequence[str], **aggregates: Callable[[Column], Column]) -> dict:
-    exprs = [fn(number(df, c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, fn in aggregates.items()]
-    row = df.agg(*exprs).first()
-    return {n: {c: row[f"{n}{i}"] for i, c in enumerate(columns)} for n in aggregates}
+def _fitted_values(df: DataFrame, columns: Sequence[str], **aggregates: Callable[[Column], Column]) -> dict:
+    found = collect_scalars(df, {(n, c): fn(number(df, c)) for c in columns for n, fn in aggregates.items()})
+    return {n: {c: found[n, c] for c in columns} for n in aggregates}
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -59,7 +59,7 @@ def fit_impute_numeric(df: DataFrame, columns: Sequence[str], method: str) -> Fi
     if not columns:
         return Fitted(lambda d: d)
     if method == "mean":
-        fill = _one_row(df, columns, mean=F.avg)["mean"]
+        fill = _fitted_values(df, columns, mean=F.avg)["mean"]
     else:
         fill = {c: q[0] for c, q in exact_quantiles(df, columns, [0.5]).items()}
 
@@ -111,7 +111,7 @@ def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -
     if not columns:
         return Fitted(lambda d: d)
     if method == "minmax":
-        found = _one_row(df, columns, low=F.min, high=F.max)
+        found = _fitted_values(df, columns, low=F.min, high=F.max)
         centre = found["low"]
         spread = {c: None if found["low"][c] is None else found["high"][c] - found["low"][c] for c in columns}
     elif method == "robust":
@@ -119,7 +119,7 @@ def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -
         centre = {c: q[1] for c, q in quartiles.items()}
         spread = {c: None if q[0] is None else q[2] - q[0] for c, q in quartiles.items()}
     else:
-        found = _one_row(df, columns, mean=F.avg, std=F.stddev_pop)
+        found = _fitted_values(df, columns, mean=F.avg, std=F.stddev_pop)
         centre, spread = found["mean"], found["std"]
     divisor = {c: s or 1.0 for c, s in spread.items()}
 
@@ -250,7 +250,7 @@ def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     Values are shifted by the feature's overall mean, so the sums of squares keep their digits.
     """
     features = list(features)
-    centre = _one_row(df, features, mean=F.avg)["mean"]
+    centre = _fitted_values(df, features, mean=F.avg)["mean"]
     shifted = [(number(df, f) - F.lit(centre[f] or 0.0)) for f in features]
     per_class = df.groupBy(column(label)).agg(
         F.count(F.lit(1)).alias("n"),
@@ -302,7 +302,7 @@ def fit_pca(df: DataFrame, features: Sequence[str], n: int | None = None, keep:
     """
     features = list(features)
     n = min(n or min(20, len(features)), len(features))
-    centre = _one_row(df, features, mean=F.avg)["mean"]
+    centre = _fitted_values(df, features, mean=F.avg)["mean"]
 
     def vectors(d: DataFrame, columns: Sequence[str]) -> DataFrame:
         centred = d.select(

@@ -20,6 +20,7 @@ from tabulark.functions.columns import (
     ratio,
 )
 from tabulark.operators.quantiles import exact_quantiles
+from tabulark.operators.scalars import collect_scalars
 
 _PAIRS_PER_SCAN = 200
 _MATRIX_COLUMNS = 60
@@ -88,15 +89,14 @@ class _Scan:
     """Scalars of all columns from one pass: rows, missing cells, moments and range."""
 
     def __init__(self, df: DataFrame, numeric: Sequence[str], missing: Sequence[str] = ()):
-        moments = (("n", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
-        row = df.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(missing)],
-            *[fn(number(df, c)).alias(f"{name}{i}") for i, c in enumerate(numeric) for name, fn in moments],
-        ).first()
-        self.rows = row["rows"]
-        self.missing = {c: row[f"m{i}"] for i, c in enumerate(missing)}
-        self.moments = {c: {name: row[f"{name}{i}"] for name, _ in moments} for i, c in enumerate(numeric)}
+        moments = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+        aggregates = {("rows",): F.count(F.lit(1))}
+        aggregates |= {("missing", c): F.count_if(is_missing(df, c)) for c in missing}
+        aggregates |= {(name, c): fn(number(df, c)) for c in numeric for name, fn in moments.items()}
+        found = collect_scalars(df, aggregates)
+        self.rows = found["rows",]
+        self.missing = {c: found["missing", c] for c in missing}
+        self.moments = {c: {name: found[name, c] for name in moments} for c in numeric}
 
     def complete(self, name: str) -> bool:
         return self.moments[name]["n"] == self.rows
@@ -141,23 +141,19 @@ def _correlate(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
     complete = [c for c in columns if scan.complete(c) and not scan.constant(c)]
     if len(complete) > _MATRIX_COLUMNS:
         values.update(_matrix_pairs(df, complete))
-    left = [p for p in pairs if p not in values]
-    for start in range(0, len(left), _PAIRS_PER_SCAN):
-        batch = left[start : start + _PAIRS_PER_SCAN]
-        aggregates = []
-        for i, (a, b) in enumerate(batch):
-            if scan.complete(a) and scan.complete(b):
-                # Means are known, so one sum of centred products is all a pair costs.
-                x, y = (column(c).cast("double") - F.lit(scan.moments[c]["mean"]) for c in (a, b))
-                spread = (scan.rows - 1) * scan.moments[a]["std"] * scan.moments[b]["std"]
-                r = F.sum(x * y) / F.lit(spread)
-            else:
-                x, y = number(df, a), number(df, b)
-                both = x.isNotNull() & y.isNotNull()
-                r = ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
-            aggregates.append(F.abs(r).alias(f"r{i}"))
-        row = df.agg(*aggregates).first()
-        values.update({p: row[f"r{i}"] for i, p in enumerate(batch)})
+    aggregates = {}
+    for a, b in (p for p in pairs if p not in values):
+        if scan.complete(a) and scan.complete(b):
+            # Means are known, so one sum of centred products is all a pair costs.
+            x, y = (column(c).cast("double") - F.lit(scan.moments[c]["mean"]) for c in (a, b))
+            spread = (scan.rows - 1) * scan.moments[a]["std"] * scan.moments[b]["std"]
+            r = F.sum(x * y) / F.lit(spread)
+        else:
+            x, y = number(df, a), number(df, b)
+            both = x.isNotNull() & y.isNotNull()
+            r = ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+        aggregates[a, b] = F.abs(r)
+    values.update(collect_scalars(df, aggregates, _PAIRS_PER_SCAN))
     return df.sparkSession.createDataFrame([(a, b, values[a, b]) for a, b in pairs], _CORRELATIONS)
 
 

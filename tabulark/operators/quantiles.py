@@ -14,6 +14,7 @@ from tabulark.operators.ordered import running_sums
 
 _SKETCH = 2000  # sketch accuracy: rank error at most rows / _SKETCH
 _MARGIN = 2.0 / _SKETCH
+_COLUMNS_PER_SCAN = 40
 
 
 def exact_quantiles(
@@ -33,6 +34,12 @@ def exact_quantiles(
     """
     if not columns:
         return {}
+    if len(columns) > _COLUMNS_PER_SCAN:
+        rows, found = df.count() if rows is None else rows, {}
+        for start in range(0, len(columns), _COLUMNS_PER_SCAN):
+            part = columns[start : start + _COLUMNS_PER_SCAN]
+            found.update(exact_quantiles(df, part, probabilities, max_buffer_rows, hot_rows, rows))
+        return found
     data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = data.columns
     probabilities = [float(p) for p in probabilities]

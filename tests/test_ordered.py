@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabulark.operators.lookup import join_lookup
 from tabulark.operators.ordered import mark_first, numbered, running_sums, with_next
 from tabulark.operators.quantiles import exact_quantiles
+from tabulark.operators.scalars import collect_scalars
 from tabulark.operators.split import kfold, train_test_split
 
 
@@ -125,3 +126,18 @@ def test_split_is_complete_and_stable(skewed, exact):
     if exact:
         rows = first.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("split") == "test").alias("t")).collect()
         assert all(r["t"] == int(r["n"] * 0.2 + 0.5) for r in rows)
+
+
+@pytest.mark.parametrize("quota", [0, 1, 77, 600, 601])
+def test_first_rows_of_the_whole_table(spark, skewed, quota):
+    marked = mark_first(skewed, [], ["id"], F.lit(quota), "whole", 1, "taken")
+    assert marked.filter("taken").count() == min(quota, 600)
+    assert "NestedLoop" not in marked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scalars_in_batches(skewed):
+    sums = {i: F.sum(F.col("v") + i) for i in range(7)}
+    assert collect_scalars(skewed, sums, per_scan=3) == collect_scalars(skewed, sums)
+    many = skewed.select(*[(F.col("v") + i).alias(f"c{i}") for i in range(45)])
+    found = exact_quantiles(many, many.columns, [0.5])
+    assert found["c44"][0] == found["c0"][0] + 44

@@ -101,11 +101,13 @@ def prepare_data(
     fit_scope: str = "train",
     test_fraction: float = TEST_FRACTION,
     seed: int = SEED,
+    keep_source: bool = True,
 ) -> PreparedData:
     """Split, prepared and persisted frames with `row_key`, `label` and `features`.
 
     With `fit_scope="train"` features are fitted and classes balanced on the training rows only;
-    `"all"` does both before the split.
+    `"all"` does both before the split. Every fit reads the source once, so it is kept until the
+    prepared frames are there; pass `keep_source=False` if it is persisted already.
     """
     classification = problem_type == "classification"
     if classification:
@@ -116,6 +118,7 @@ def prepare_data(
     df = df.withColumn(ROW_KEY, column(key).cast("string"))
     df = df if key == ROW_KEY else df.drop(key)
     keep = [ROW_KEY]
+    df = df.persist() if keep_source else df
     if fit_scope == "all":
         ready = preprocess(df, "label", feature_plan, classification, keep)
         whole, notes = _balance(_vectors(ready.train, ready.features), feature_plan, classification, seed, ready.notes)
@@ -129,7 +132,13 @@ def prepare_data(
         train, notes = _balance(_vectors(ready.train, ready.features), feature_plan, classification, seed, ready.notes)
         test = _vectors(ready.others[0], ready.features)
     train, test = train.persist(), test.persist()
-    classes = int(train.agg(F.max("label")).first()[0]) + 1 if classification else None
+    top = train.agg(F.max("label")).first()[0]
+    test.count()
+    if keep_source:
+        df.unpersist()
+    if top is None:
+        raise ValueError("no training rows with a target")
+    classes = int(top) + 1 if classification else None
     return PreparedData(train, test, classes, ready.error, notes)
 
 
@@ -205,6 +214,20 @@ def _run(
     df = load_dataset(spark, wanted.dataset, catalog)
     if key is None:
         df, key = with_row_key(df), ROW_KEY
+    df = df.persist()  # read by the profile and by every fit of every iteration
+    try:
+        _loop(
+            spark, df, wanted, key, plan, feature_plan, critic, replanner, custom_transform, out,
+            max_iterations, n_trials, folds, model_params, fit_scope, seed, outcome,
+        )
+    finally:
+        df.unpersist()
+
+
+def _loop(
+    spark, df, wanted, key, plan, feature_plan, critic, replanner, custom_transform, out,
+    max_iterations, n_trials, folds, model_params, fit_scope, seed, outcome,
+):
     plan = default_plan(plan if plan is not None else plan_from_goal(wanted.goal))
     features_of = [c for c in df.columns if c != key]
     target, guessed = resolve_target(features_of, plan["target_column"])
@@ -222,7 +245,7 @@ def _run(
     written, iteration, tuned, prepared = 0, 0, False, None
     while True:
         if prepared is None:
-            prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed)
+            prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed, keep_source=False)
             outcome.notes += prepared.notes
             if prepared.error:
                 outcome.notes.append(f"custom transform left out: {prepared.error.strip().splitlines()[-1]}")

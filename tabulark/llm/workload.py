@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import langid
+from tabulark.llm import langid, secret_scan
 from tabulark.llm.tables import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,48 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out())
     model = langid.fit(docs.filter("not held_out"), "text", "lang")
     return langid.predict(docs.drop("lang"), "text", model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_KINDS = (
+    ("assign", _ASSIGN, 2, 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20, 0),
+    ("hex", "[0-9a-f]+", 0, 24, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", 0, 40, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", 0, 15, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, 0),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, 0),
+)
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {no} AS no, {least} AS least, {value} AS least_value, "
+    f"string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d"
+    for no, (kind, p, group, least, value) in enumerate(_SECRET_KINDS)
+)}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0),
+s AS (
+  SELECT doc_id, kind, no, length(m[i]) AS size,
+    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+  FROM i WHERE length(m[i]) >= least AND length(v[i]) >= least_value),
+f AS (
+  SELECT doc_id, sum((no = 0)::INT) AS na, sum((no = 1)::INT) AS nk, sum((no = 2)::INT) AS nh,
+    coalesce(string_agg(kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT, ',' ORDER BY a, no) FILTER (WHERE no < 3), '') AS base,
+    string_agg(kind || ':' || a::BIGINT || ':' || (a + size)::BIGINT, ',' ORDER BY a, no) AS spans
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS n_access, coalesce(nh, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
+@query("op2_secret_scan", _SECRETS)
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan.scan(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    base = secret_scan.of_kinds(F.col("spans"), secret_scan.BASE)
+    number = [
+        F.size(secret_scan.of_kinds(F.col("spans"), (rule,))).cast("long").alias(f"n_{rule.kind}") for rule in secret_scan.BASE
+    ]
+    return findings.select(
+        "doc_id", *number, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
+    )

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import langid, secret_scan
+from tabulark.llm import langid, packing, secret_scan
 from tabulark.llm.tables import held_out
 
+#: The tokenizer file, by its name among the public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -78,3 +82,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.select(
         "doc_id", *number, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans")
     )
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(pieces).drop("piece_key")

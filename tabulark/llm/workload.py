@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import langid, packing, secret_scan
+from tabulark.llm import langid, neardup, packing, secret_scan
 from tabulark.llm.tables import held_out
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -88,3 +88,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path(TOKENIZER))
     return packing.pack(pieces).drop("piece_key")
+
+
+@query("op5_minhash_near_dedup")
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", neardup.Forest(words=2))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import langid, neardup, packing, secret_scan
+from tabulark.llm import decontaminate, langid, neardup, packing, secret_scan
 from tabulark.llm.tables import held_out
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -93,3 +93,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", neardup.Forest(words=2))
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", benchmark, "item_id", "text")

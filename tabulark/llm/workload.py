@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, langid, neardup, packing, secret_scan
-from tabulark.llm.tables import held_out
+from tabulark.llm import decontaminate, langid, neardup, packing, secret_scan, sharding
+from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,3 +99,17 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", benchmark, "item_id", "text")
+
+
+@query("op9_balanced_sharding")
+def op9_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    nodes = docs.select(
+        "doc_id",
+        (F.octet_length("text") + 1).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.unhex(F.md5("text")).alias("link"),
+        F.monotonically_increasing_id().alias("key"),
+    )
+    found = sharding.balanced_shards(written(nodes, "nodes"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

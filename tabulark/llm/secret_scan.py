@@ -30,16 +30,18 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+# Where a match is a whole run of one class of characters, its least length stands in the pattern: leftmost
+# matches are the same, and the many short runs of ordinary text are no matches.
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
 )
 ADDED = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
 

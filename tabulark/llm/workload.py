@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, langid, neardup, packing, secret_scan, sharding
+from tabulark.llm import decontaminate, imatch, langid, neardup, packing, secret_scan, sharding
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -113,3 +113,9 @@ def op9_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = sharding.balanced_shards(written(nodes, "nodes"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_imatch_fingerprints")
+def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return imatch.with_edited(docs, "doc_id", "text", imatch.fit(docs, "text"))

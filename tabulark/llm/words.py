@@ -21,6 +21,9 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: All bytes of ASCII but letters, digits and the apostrophe.
+MARKS = np.ones(256, bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -60,9 +63,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every run of bytes other than space and tab to carriage return."""
-    inside = ~_SPACE[block.data]
+def word_spans(block: Block, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes other than ``outside`` (space and tab to carriage return)."""
+    inside = ~outside[block.data]
     edge = np.zeros(len(inside) + 1, bool)
     edge[block.offsets] = True
     before = np.concatenate(([False], inside[:-1])) & ~edge[:-1] if len(inside) else inside

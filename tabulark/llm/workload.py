@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, neardup, packing, secret_scan, sharding
+from tabulark.llm import decontaminate, imatch, langid, neardup, packing, secret_scan, sharding, toxicity
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -119,3 +119,11 @@ def op9_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return imatch.with_edited(docs, "doc_id", "text", imatch.fit(docs, "text"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    return toxicity.predict(docs, "text", model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

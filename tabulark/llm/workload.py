@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, neardup, packing, secret_scan, sharding, toxicity
+from tabulark.llm import decontaminate, imatch, langid, neardup, packing, pages, secret_scan, sharding, toxicity
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -127,3 +127,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
     model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
     return toxicity.predict(docs, "text", model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op4_html_main_text")
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, neardup, packing, pages, secret_scan, sharding, toxicity
+from tabulark.llm import decontaminate, imatch, langid, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -132,3 +132,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_html_main_text")
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return token_counts.attributed(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER))

@@ -12,4 +12,4 @@ DEFAULT_DATASET = "heart_disease"
 HOT_GROUP_ROWS = 1_000_000  # above this a group is never sorted by one task
 LOOKUP_ROWS = 10_000  # lookups up to this many rows are broadcast
 EXACT_PERCENTILE_ROWS = 1_000_000  # up to this many rows one buffer holds them all
-ONEHOT_COLUMNS = 200  # wider encodings become one sparse vector per column
+LOOKUP_BYTES = 16 << 20  # and up to this many bytes

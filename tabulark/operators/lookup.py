@@ -7,20 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tabulark.config import LOOKUP_ROWS
+from tabulark.config import LOOKUP_BYTES, LOOKUP_ROWS
 from tabulark.functions.columns import column
 from tabulark.session import materialize
 
 
-def settle(frame: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
+def settle(frame: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> tuple[DataFrame, bool]:
     """The frame computed once, and whether it is small enough to broadcast.
 
-    Up to `max_rows` rows are held by the driver, more are written to shared storage.
+    It is held by the driver up to `max_rows` rows of `max_bytes` bytes (as text) together, and written to
+    shared storage beyond that.
     """
-    rows = frame.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        return frame.sparkSession.createDataFrame(rows, frame.schema), True
-    return materialize(frame), False
+    kept = frame.persist()
+    try:
+        width = F.octet_length(F.to_json(F.struct(*[column(c) for c in frame.columns])))
+        size = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+        if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
+            return frame.sparkSession.createDataFrame(kept.collect(), frame.schema), True
+        return materialize(kept), False
+    finally:
+        kept.unpersist()
 
 
 def join_lookup(

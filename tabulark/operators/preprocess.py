@@ -10,13 +10,15 @@ import traceback
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulark.config import HOT_GROUP_ROWS, ONEHOT_COLUMNS
+from tabulark.config import HOT_GROUP_ROWS
 from tabulark.functions.columns import (
     categorical_columns,
     column,
@@ -25,10 +27,11 @@ from tabulark.functions.columns import (
     numeric_columns,
     ratio,
 )
-from tabulark.operators.lookup import join_lookup
+from tabulark.operators.lookup import join_lookup, settle
 from tabulark.operators.ordered import numbered
 from tabulark.operators.quantiles import exact_quantiles
 from tabulark.operators.scalars import collect_scalars
+from tabulark.session import materialize
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -136,90 +139,122 @@ def fit_scale(df: DataFrame, columns: Sequence[str], method: str = "standard") -
 
 
 def category_dictionary(df: DataFrame, name: str, missing: str | None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """(value, code) of the sorted distinct texts of a column, codes from 0."""
-    text = column(name).cast("string")
-    if missing is not None:
-        text = F.coalesce(text, F.lit(missing))
-    values = df.select(text.alias("value")).filter("value IS NOT NULL").distinct()
+    """(value, code) of the sorted distinct values of a column, codes from 0; numbers sort as numbers, all else as text."""
+    value = column(name)
+    if not isinstance(df.schema[name].dataType, T.NumericType):
+        value = value.cast("string")
+        if missing is not None:
+            value = F.coalesce(value, F.lit(missing))
+    values = df.filter(~is_missing(df, name)) if missing is None else df
+    values = values.select(value.alias("value")).distinct()
     return numbered(values, [], [F.col("value")], "no", hot_rows).select("value", (F.col("no") - 1).alias("code"))
 
 
+def category_dictionaries(df: DataFrame, columns: Sequence[str], missing: str | None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """(k, value, code) of the sorted distinct texts of all columns, k the place of the column: one pass, computed once."""
+    cells = [F.struct(F.lit(i).alias("k"), column(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells)))
+    values = values.filter("value IS NOT NULL") if missing is None else values.withColumn("value", F.coalesce("value", F.lit(missing)))
+    codes = numbered(values.distinct(), ["k"], [F.col("value")], "no", hot_rows)
+    return settle(codes.select("k", "value", (F.col("no") - 1).alias("code")))[0]
+
+
+def _coded(d: DataFrame, name: str, dictionary: DataFrame, missing: str | None, output: str) -> DataFrame:
+    """The column's code as `output`, NULL for a value that is not in the dictionary. No column of `d` is lost."""
+    value, code = fresh(d, "value", output), fresh(d, "code", output)
+    text = column(name).cast("string")
+    d = d.withColumn(value, text if missing is None else F.coalesce(text, F.lit(missing)))
+    renamed = dictionary.select(F.col("value").alias(value), F.col("code").alias(code))
+    return join_lookup(d, renamed, [value]).withColumn(output, column(code)).drop(value, code)
+
+
 def fit_encode_label(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_GROUP_ROWS) -> Fitted:
     """Text values to their position in sorted order; missing counts as the text `None`.
 
-    A value that was not there when fitting gets NULL.
+    A value that was not there when fitting gets a code of its own, the number of known values.
     """
-    dictionaries = {c: category_dictionary(df, c, "None", hot_rows) for c in columns}
+    columns = list(columns)
+    if not columns:
+        return Fitted(lambda d: d)
+    dictionaries = category_dictionaries(df, columns, "None", hot_rows)
+    known = {r["k"]: r["n"] for r in dictionaries.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def apply(d: DataFrame) -> DataFrame:
-        for c, dictionary in dictionaries.items():
-            d = d.withColumn("value", F.coalesce(column(c).cast("string"), F.lit("None")))
-            d = join_lookup(d, dictionary, ["value"]).withColumn(c, F.col("code")).drop("value", "code")
+        for i, c in enumerate(columns):
+            d = _coded(d, c, dictionaries.filter(F.col("k") == i), "None", c)
+            d = d.withColumn(c, F.coalesce(column(c), F.lit(known.get(i, 0))))
         return d
 
-    return Fitted(apply, {"dictionaries": dictionaries})
+    return Fitted(apply, {"columns": columns, "known": known})
 
 
 def encode_target(df: DataFrame, target: str, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """A target that is no number becomes 0..k-1 in sorted order."""
     if isinstance(df.schema[target].dataType, T.NumericType):
         return df
+    return _coded(df, target, category_dictionary(df, target, None, hot_rows), None, target)
+
+
+def class_codes(df: DataFrame, target: str, output: str, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Any target as classes 0..k-1 in sorted order (numbers as numbers), as a double; rows without a target are left out."""
+    df = df.filter(~is_missing(df, target))
     dictionary = category_dictionary(df, target, None, hot_rows)
-    keyed = df.withColumn("value", column(target).cast("string"))
-    return join_lookup(keyed, dictionary, ["value"]).withColumn(target, F.col("code")).drop("value", "code")
+    code, value = fresh(df, "code", output), fresh(df, "value", output)
+    renamed = dictionary.select(F.col("value").alias(value), F.col("code").cast("double").alias(code))
+    kind = renamed.schema[value].dataType
+    coded = join_lookup(df.withColumn(value, column(target).cast(kind)), renamed, [value])
+    return coded.withColumn(output, column(code)).drop(code, value)
 
 
-def fit_encode_onehot(
-    df: DataFrame, columns: Sequence[str], max_columns: int = ONEHOT_COLUMNS, hot_rows: int = HOT_GROUP_ROWS
-) -> Fitted:
-    """One 0/1 column `col_value` per sorted value but the first, after all other columns.
+def fit_encode_onehot(df: DataFrame, columns: Sequence[str], expand: bool = True, hot_rows: int = HOT_GROUP_ROWS) -> Fitted:
+    """One slot `col_value` per sorted value but the first; a missing or unknown value is 0 in all.
 
-    Missing is 0 everywhere. A column with more values than `max_columns` becomes one
-    sparse vector column with the same slots.
+    With `expand` the slots are 0/1 columns after all other columns, however many there are. Without, each
+    column becomes one sparse vector of its name; `slots` in the parameters has the slot names either way.
     """
     columns = list(columns)
     if not columns:
-        return Fitted(lambda d: d)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("k"), column(c).cast("string").alias("v")) for i, c in enumerate(columns)]
-    )
-    distinct = df.select(F.inline(cells)).filter("v IS NOT NULL").distinct().persist()
-    sizes = {r["k"]: r["count"] for r in distinct.groupBy("k").count().collect()}
-    narrow = [i for i in range(len(columns)) if sizes.get(i, 0) <= max_columns + 1]
-    found: dict[int, list] = {i: [] for i in narrow}
-    for r in distinct.filter(F.col("k").isin(narrow)).collect():  # at most max_columns + 1 a column
-        found[r["k"]].append(r["v"])
-    distinct.unpersist()
-    values: dict[str, list] = {}
-    for i in narrow:
-        boolean = isinstance(df.schema[columns[i]].dataType, T.BooleanType)
-        values[columns[i]] = [v == "true" for v in sorted(found[i])] if boolean else sorted(found[i])
-    wide = {c: category_dictionary(df, c, None, hot_rows) for i, c in enumerate(columns) if i not in narrow}
+        return Fitted(lambda d: d, {"slots": {}})
+    dictionaries = category_dictionaries(df, columns, None, hot_rows)
+    values: dict[str, list] = {c: [] for c in columns}
+    for r in dictionaries.orderBy("k", "code").collect():  # the slots are features: their names belong to the driver
+        values[columns[r["k"]]].append(r["value"])
+    slots = {c: [f"{c}_{_shown(df, c, v)}" for v in values[c][1:]] for c in columns}
 
     def apply(d: DataFrame) -> DataFrame:
-        keep = [column(c) for c in d.columns if c not in values]  # sparse columns included
-        flags = [
-            F.coalesce(column(c) == F.lit(v), F.lit(False)).cast("double").alias(f"{c}_{v}")
-            for c in values
-            for v in values[c][1:]
-        ]
-        d = d.select(*keep, *flags)
-        for c, dictionary in wide.items():
-            d = _sparse_onehot(d, c, dictionary)
-        return d
+        return _expanded(d, values) if expand else _vectors_of(d, values, dictionaries, columns)
 
-    return Fitted(apply, {"values": values, "wide": list(wide)})
+    return Fitted(apply, {"values": values, "slots": slots})
 
 
-def _sparse_onehot(d: DataFrame, name: str, dictionary: DataFrame) -> DataFrame:
-    last = dictionary.count() - 1
-    coded = join_lookup(d.withColumn("value", column(name).cast("string")), dictionary, ["value"])
-    # The encoder drops its last slot: put the first value and missing there.
-    slot = F.when(F.coalesce(F.col("code"), F.lit(0)) == 0, F.lit(last)).otherwise(F.col("code") - 1)
-    coded = coded.withColumn("code", slot.cast("double")).drop("value", name)
-    sizes = d.sparkSession.createDataFrame([(float(last),)], "code double")
-    encoder = OneHotEncoder(inputCols=["code"], outputCols=[name], dropLast=True).fit(sizes)
-    return encoder.transform(coded).drop("code")
+def _shown(df: DataFrame, name: str, value: str):
+    return value == "true" if isinstance(df.schema[name].dataType, T.BooleanType) else value
+
+
+def _expanded(d: DataFrame, values: dict[str, list]) -> DataFrame:
+    flags = [
+        F.coalesce(column(c).cast("string") == F.lit(v), F.lit(False)).cast("double").alias(f"{c}_{_shown(d, c, v)}")
+        for c in values
+        for v in values[c][1:]
+    ]
+    return d.select(*[column(c) for c in d.columns if c not in values], *flags)
+
+
+def _vectors_of(d: DataFrame, values: dict[str, list], dictionaries: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each column as a sparse vector: the encoder leaves out its last slot, where the first, missing and unknown values go."""
+    rest = [c for c in d.columns if c not in values]
+    for i, c in enumerate(columns):
+        last = max(len(values[c]) - 1, 0)
+        code = fresh(d, "code")
+        d = _coded(d, c, dictionaries.filter(F.col("k") == i), None, code)
+        slot = F.when(F.coalesce(column(code), F.lit(0)) == 0, F.lit(last)).otherwise(column(code) - 1).cast("double")
+        if not last:
+            d = d.drop(code, c)
+            continue
+        sizes = d.sparkSession.createDataFrame([(float(last),)], f"`{code}` double")
+        encoder = OneHotEncoder(inputCols=[code], outputCols=[f"{code}_v"], dropLast=True).fit(sizes)
+        d = encoder.transform(d.withColumn(code, slot).drop(c)).withColumnRenamed(f"{code}_v", c).drop(code)
+    return d.select(*[column(c) for c in rest], *[column(c) for c in columns if c in d.columns])
 
 
 def fill_remaining(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -244,83 +279,132 @@ def _f_value(explained: Column, left: Column) -> Column:
     return F.when((left <= 0) & (explained > 0), F.lit(float("inf"))).otherwise(ratio(explained, left))
 
 
-def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """One-way analysis of variance per feature as (feature, score), in one grouped pass.
+def _slots_of(features: Sequence[str], slots: dict[str, list[str]] | None) -> list[tuple[str, int | None, str]]:
+    """(column, place in its vector, name) of every feature in order."""
+    out: list[tuple[str, int | None, str]] = []
+    for f in features:
+        out += [(f, i, name) for i, name in enumerate(slots[f])] if slots and f in slots else [(f, None, f)]
+    return out
+
+
+def _one_vector(df: DataFrame, features: Sequence[str], centre: dict[str, float | None], keep: Sequence[Column]) -> DataFrame:
+    """All features as one vector `_v`: numbers less their mean (missing counts as the mean), vectors as they are."""
+    parts = [
+        column(f).alias(f"_x{i}") if _is_vector(df, f) else F.coalesce(number(df, f) - F.lit(centre.get(f) or 0.0), F.lit(0.0)).alias(f"_x{i}")
+        for i, f in enumerate(features)
+    ]
+    inputs = [f"_x{i}" for i in range(len(features))]
+    return VectorAssembler(inputCols=inputs, outputCol="_v").transform(df.select(*keep, *parts)).drop(*inputs)
+
 
-    Values are shifted by the feature's overall mean, so the sums of squares keep their digits.
+def _means(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
+    numbers = [f for f in features if not _is_vector(df, f)]
+    return _fitted_values(df, numbers, mean=F.avg)["mean"] if numbers else {}
+
+
+def _scores(df: DataFrame, names: list[str], scores: list[float | None]) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(zip(range(len(names)), names, scores)), "position int, feature string, score double")
+
+
+def f_classif(df: DataFrame, features: Sequence[str], label: str, slots: dict[str, list[str]] | None = None) -> DataFrame:
+    """One-way analysis of variance per feature as (position, feature, score), in one grouped pass.
+
+    Values are shifted by the feature's overall mean, so the sums of squares keep their digits. Vector columns
+    count slot by slot, with the names in `slots`. Sums are kept as vectors, so any number of features is one plan.
     """
-    features = list(features)
-    centre = _fitted_values(df, features, mean=F.avg)["mean"]
-    shifted = [(number(df, f) - F.lit(centre[f] or 0.0)) for f in features]
-    per_class = df.groupBy(column(label)).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(v).alias(f"s{i}") for i, v in enumerate(shifted)],
-        *[F.sum(v * v).alias(f"q{i}") for i, v in enumerate(shifted)],
+    names = [name for _, _, name in _slots_of(features, slots)]
+    shifted = _one_vector(df, features, _means(df, features), [column(label).alias("_label")])
+    sums = Summarizer.metrics("sum", "normL2").summary(F.col("_v"))
+    per_class = shifted.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"))
+    cells = F.arrays_zip(vector_to_array("s.sum").alias("s"), vector_to_array("s.normL2").alias("q"))
+    rows = per_class.select("n", F.posexplode(cells).alias("position", "c")).groupBy("position").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("k"),
+        F.sum("c.s").alias("s"),
+        F.sum(F.col("c.q") * F.col("c.q")).alias("q"),
+        F.sum(F.col("c.s") * F.col("c.s") / F.col("n")).alias("b"),
     )
-    sums = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")]
-    for i in range(len(features)):
-        s, q = F.col(f"s{i}"), F.col(f"q{i}")
-        sums += [F.sum(s).alias(f"s{i}"), F.sum(q).alias(f"q{i}"), F.sum(s * s / F.col("n")).alias(f"b{i}")]
-    row = per_class.agg(*sums)
-    cells = []
-    for i, f in enumerate(features):
-        between = F.col(f"b{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")
-        within = F.col(f"q{i}") - F.col(f"b{i}")
-        score = _f_value(ratio(between, F.col("k") - 1), ratio(within, F.col("n") - F.col("k")))
-        cells.append(F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), score.alias("score")))
-    return row.select(F.inline(F.array(*cells)))
-
-
-def f_regression(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """F of the simple regression on each feature as (feature, score)."""
+    between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
+    score = _f_value(ratio(between, F.col("k") - 1), ratio(within, F.col("n") - F.col("k")))
+    found = {r["position"]: r["score"] for r in rows.select("position", score.alias("score")).collect()}
+    return _scores(df, names, [found.get(i) for i in range(len(names))])
+
+
+def f_regression(df: DataFrame, features: Sequence[str], label: str, slots: dict[str, list[str]] | None = None) -> DataFrame:
+    """F of the simple regression on each feature as (position, feature, score); vector columns slot by slot.
+
+    Sums of products with the label are weighted sums of the features; weights are shifted to be positive.
+    """
+    names = [name for _, _, name in _slots_of(features, slots)]
     y = number(df, label)
-    cells, aggregates = [], [F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sy")]
-    for i, f in enumerate(features):
-        x = number(df, f)
-        aggregates += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"s{i}")]
-        r = ratio(F.col(f"c{i}"), F.col(f"s{i}") * F.col("sy"))
-        score = _f_value(r * r, F.greatest(1 - r * r, F.lit(0.0))) * (F.col("n") - 2)
-        cells.append(F.struct(F.lit(i).alias("position"), F.lit(f).alias("feature"), score.alias("score")))
-    return df.agg(*aggregates).select(F.inline(F.array(*cells)))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.min(y).alias("low")).first()
+    n = row["n"]
+    if not n or row["my"] is None:
+        return _scores(df, names, [None] * len(names))
+    weight = (F.coalesce(y, F.lit(row["my"])) - F.lit(row["low"])).alias("_w")
+    shifted = _one_vector(df, features, _means(df, features), [weight])
+    plain = Summarizer.metrics("sum", "normL2").summary(F.col("_v"))
+    both = shifted.agg(plain.alias("p"), Summarizer.metrics("sum").summary(F.col("_v"), F.col("_w")).alias("w")).first()
+    s, q, w = both["p"]["sum"].toArray(), both["p"]["normL2"].toArray() ** 2, both["w"]["sum"].toArray()
+    covariance = (w - (row["my"] - row["low"]) * s) / n
+    deviation = np.sqrt(np.maximum(q / n - (s / n) ** 2, 0.0))
+    scores: list[float | None] = []
+    for c, d in zip(covariance, deviation):
+        if not d or not row["sy"] or n < 3:
+            scores.append(None)
+            continue
+        r2 = min((c / (d * row["sy"])) ** 2, 1.0)
+        scores.append(float("inf") if r2 >= 1.0 else float(r2 / (1 - r2) * (n - 2)))
+    return _scores(df, names, scores)
 
 
 def select_k_best(
-    df: DataFrame, features: Sequence[str], label: str, k: int | None = None, classification: bool = True
+    df: DataFrame, features: Sequence[str], label: str, k: int | None = None, classification: bool = True,
+    slots: dict[str, list[str]] | None = None,
 ) -> list[str]:
-    """The k features with the largest scores in their original order; ties keep the later one."""
-    features = list(features)
-    k = min(k or min(20, len(features)), len(features))
-    scores = (f_classif if classification else f_regression)(df, features, label).collect()
+    """The k features (or slots of vector columns) with the largest scores in their original order; ties keep the later one."""
+    scores = (f_classif if classification else f_regression)(df, list(features), label, slots).collect()
+    k = min(k or min(20, len(scores)), len(scores))
     best = sorted(scores, key=lambda r: (r["score"] is not None, r["score"] or 0.0, r["position"]), reverse=True)[:k]
     return [r["feature"] for r in sorted(best, key=lambda r: r["position"])]
 
 
-def fit_pca(df: DataFrame, features: Sequence[str], n: int | None = None, keep: Sequence[str] = ()) -> Fitted:
-    """Project on the top n components as columns `0` … `n-1`.
+def take_features(df: DataFrame, features: Sequence[str], chosen: Sequence[str], slots: dict[str, list[str]] | None, keep: Sequence[str]) -> DataFrame:
+    """The kept columns and the chosen features, slots of vectors as columns of their own."""
+    wanted, columns = set(chosen), [column(c) for c in keep]
+    arrays = {}
+    for f, place, name in _slots_of(features, slots):
+        if name in wanted:
+            value = column(f) if place is None else arrays.setdefault(f, vector_to_array(column(f)))[place]
+            columns.append(value.alias(name))
+    return df.select(*columns)
 
-    Features are centred first. The sign of a component makes its largest loading positive.
-    """
-    features = list(features)
-    n = min(n or min(20, len(features)), len(features))
-    centre = _fitted_values(df, features, mean=F.avg)["mean"]
 
-    def vectors(d: DataFrame, columns: Sequence[str]) -> DataFrame:
-        centred = d.select(
-            *[column(c) for c in columns],
-            *[(number(d, f) - F.lit(centre[f])).alias(f"_x{i}") for i, f in enumerate(features)],
-        )
-        inputs = [f"_x{i}" for i in range(len(features))]
-        return VectorAssembler(inputCols=inputs, outputCol="_v").transform(centred).drop(*inputs)
+def fit_pca(
+    df: DataFrame, features: Sequence[str], n: int | None = None, keep: Sequence[str] = (), slots: dict[str, list[str]] | None = None
+) -> Fitted:
+    """Project on the top n components as columns `0` … `n-1`; vector columns enter slot by slot.
 
-    model = PCA(k=n, inputCol="_v", outputCol="_p").fit(vectors(df, []))
+    Scores are centred. The sign of a component makes its largest loading positive.
+    """
+    features = list(features)
+    width = len(_slots_of(features, slots))
+    n = min(n or min(20, width), width)
+    centre = _means(df, features)
+    vectors = _one_vector(df, features, centre, [])
+    model = PCA(k=n, inputCol="_v", outputCol="_p").fit(vectors)
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] >= 0 else -1.0 for j in range(n)]
+    offset = [0.0] * n
+    if any(_is_vector(df, f) for f in features):
+        mean = vectors.agg(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
+        offset = [float(x) for x in mean @ loadings]
 
     def apply(d: DataFrame) -> DataFrame:
         kept = [c for c in d.columns if c not in features]
-        projected = model.transform(vectors(d, kept)).withColumn("_p", vector_to_array("_p"))
+        projected = model.transform(_one_vector(d, features, centre, [column(c) for c in kept])).withColumn("_p", vector_to_array("_p"))
         return projected.select(
-            *[column(c) for c in kept], *[(F.col("_p")[j] * signs[j]).alias(str(j)) for j in range(n)]
+            *[column(c) for c in kept], *[((F.col("_p")[j] - offset[j]) * signs[j]).alias(str(j)) for j in range(n)]
         )
 
     return Fitted(apply, {"variance": list(model.explainedVariance), "features": [str(j) for j in range(n)]})
@@ -337,6 +421,14 @@ def interaction_feature(df: DataFrame) -> DataFrame:
     return df.withColumn("custom_interaction", column(numeric[0]) * column(numeric[1]))
 
 
+def fresh(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that neither the frame nor `others` have."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def run_transform(df: DataFrame, transform: Transform | None) -> DataFrame:
     if not callable(transform):
         raise ValueError("Function 'transform_data' not found: pass a function of one DataFrame")
@@ -346,18 +438,29 @@ def run_transform(df: DataFrame, transform: Transform | None) -> DataFrame:
     return result
 
 
-def custom_transform(df: DataFrame, transform: Transform | None, probe: bool = True) -> tuple[DataFrame, str | None]:
+def custom_transform(
+    df: DataFrame, transform: Transform | None, probe: bool = True, hidden: Sequence[str] = ()
+) -> tuple[DataFrame, str | None]:
     """The transformed frame, or the untouched one and the traceback.
 
-    Spark is lazy, so an error may show when the function builds its plan or only when the plan
-    runs; `probe` therefore evaluates every output cell once without keeping any.
+    Spark is lazy, so an error may show when the function builds its plan or only when the plan runs;
+    with `probe` the result is therefore computed here, once, and kept in shared storage. Columns in
+    `hidden` (label, keys) are no features: the function gets them as one struct, which it must pass on,
+    and so cannot take them for numbers or texts.
     """
     try:
-        result = run_transform(df, transform)
-        result.schema  # noqa: B018 - analysis happens here
-        if probe:
-            result.write.format("noop").mode("overwrite").save()
-        return result, None
+        given, aside = df, None
+        if hidden:
+            aside = fresh(df, "aside")
+            packed = F.struct(*[column(c) for c in hidden]).alias(aside)
+            given = df.select(*[column(c) for c in df.columns if c not in hidden], packed)
+        result = run_transform(given, transform)
+        if aside is not None:
+            if aside not in result.columns:
+                raise ValueError(f"transform_data must keep the column {aside}")
+            columns = [c for c in result.columns if c != aside and c not in hidden]
+            result = result.select(*[column(aside)[c].alias(c) for c in hidden], *[column(c) for c in columns])
+        return (materialize(result) if probe else result), None
     except Exception:
         return df, traceback.format_exc()
 
@@ -367,13 +470,17 @@ def custom_transform(df: DataFrame, transform: Transform | None, probe: bool = T
 
 @dataclass
 class Prepared:
-    """Prepared frames share `features`; `error` holds a failed user transform."""
+    """Prepared frames share `features`; `error` holds a failed user transform.
+
+    A one-hot feature is one sparse vector column; `slots` has the names of its places.
+    """
 
     train: DataFrame
     others: list[DataFrame]
     features: list[str]
     error: str | None = None
     notes: list[str] = field(default_factory=list)
+    slots: dict[str, list[str]] = field(default_factory=dict)
 
 
 def fit_steps(
@@ -395,7 +502,7 @@ def fit_steps(
                 notes.append(f"scaling '{method}' taken as standard")
             one = fit_scale(df, numeric, method)
         elif kind == "encoding" and method == "onehot":
-            one = fit_encode_onehot(df, categorical)
+            one = fit_encode_onehot(df, categorical, expand=False)
             categorical = []
         elif kind == "encoding":
             if method != "label":
@@ -420,7 +527,7 @@ def preprocess(
     """User transform, steps, zero fill and selection of a feature plan.
 
     Everything is fitted on `train` and applied to `train` and `others`. Columns in `keep`
-    (row keys, split) pass through. Timestamps are no features and are left out. Oversampling
+    (row keys, split) pass through. A user transform works on the whole table, so it cannot come with `others`. Timestamps are no features and are left out. Oversampling
     follows in `tabulark.operators.sampling`.
     """
     aside = [label, *keep]
@@ -428,10 +535,10 @@ def preprocess(
     frames = [train, *others]
     transform = plan.get("custom_transform")
     if transform is not None:
-        results = [custom_transform(f, transform) for f in frames]
-        error = next((e for _, e in results if e), None)
-        if error is None:
-            frames = [d for d, _ in results]
+        if others:
+            raise ValueError("a user transform sees the whole table once: apply it before the split")
+        changed, error = custom_transform(train, transform, hidden=aside)
+        frames = [changed]
     numeric = [c for c in numeric_columns(frames[0]) if c not in aside]
     categorical = [c for c in categorical_columns(frames[0]) if c not in aside]
     dropped = [c for c in frames[0].columns if c not in {*numeric, *categorical, *aside}]
@@ -441,6 +548,7 @@ def preprocess(
 
     fitted_frame, fitted, step_notes = fit_steps(frames[0], plan.get("preprocessing_steps", []), numeric, categorical)
     notes += step_notes
+    slots = {c: names for one in fitted for c, names in one.params.get("slots", {}).items() if names}
     frames = [fitted_frame] + [_apply_all(f, fitted) for f in frames[1:]]
     frames = [fill_remaining(f, [c for c in f.columns if c not in aside]) for f in frames]
     features = [c for c in frames[0].columns if c not in aside]
@@ -451,15 +559,17 @@ def preprocess(
     selection = plan.get("feature_selection") or {}
     method, wanted = selection.get("method") or "select_k_best", selection.get("n_features")
     if selection.get("apply") and method in ("select_k_best", "SelectKBest"):
-        features = select_k_best(frames[0], features, label, wanted, classification)
+        chosen = select_k_best(frames[0], features, label, wanted, classification, slots)
+        frames = [take_features(f, features, chosen, slots, aside) for f in frames]
+        features, slots = chosen, {}
     elif selection.get("apply") and method in ("pca", "PCA"):
-        projection = fit_pca(frames[0], features, wanted)
+        projection = fit_pca(frames[0], features, wanted, slots=slots)
         frames = [projection.apply(f) for f in frames]
-        features = projection.params["features"]
+        features, slots = projection.params["features"], {}
     elif selection.get("apply"):
         notes.append(f"selection '{method}' left out")
     frames = [f.select(*[column(c) for c in aside], *[_as_double(f, c) for c in features]) for f in frames]
-    return Prepared(frames[0], frames[1:], features, error, notes)
+    return Prepared(frames[0], frames[1:], features, error, notes, slots)
 
 
 def _apply_all(df: DataFrame, fitted: Sequence[Fitted]) -> DataFrame:

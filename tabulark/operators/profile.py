@@ -81,10 +81,6 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame | None:
     )
 
 
-def in_class_order(distribution: DataFrame) -> DataFrame:
-    return distribution.orderBy(F.desc("count"), "class")
-
-
 class _Scan:
     """Scalars of all columns from one pass: rows, missing cells, moments and range."""
 
@@ -238,23 +234,24 @@ def profile(df: DataFrame, target: str) -> DataFrame:
     return result
 
 
-def profile_text(result: Sequence, target: str, df: DataFrame) -> str:
-    """A collected profile as lines of text."""
-    numeric, categorical = numeric_columns(df), categorical_columns(df)
-    pick = lambda section: [r for r in result if r["section"] == section]
-    table = {r["name"]: r["value"] for r in pick("table")}
-    lines = [
-        f"Shape: {int(table['rows'])} rows × {int(table['columns'])} columns",
-        f"Numeric columns ({len(numeric)}): {', '.join(numeric[:15])}",
-        f"Categorical columns ({len(categorical)}): {', '.join(categorical[:15])}",
-        f"Missing cells: {table['missing_pct'] or 0:.2f}%",
-    ]
-    if pick("missing"):
-        lines.append("With missing values: " + ", ".join(r["name"] for r in pick("missing")[:10]))
-    classes = sorted(pick("class"), key=lambda r: (-r["value"], r["item"]))
-    if classes:
-        lines.append(f"Classes of {target}: " + ", ".join(f"{r['item']}={int(r['value'])}" for r in classes))
-    strongest = [r for r in pick("correlation") if r["value"] is not None][:3]
-    if strongest:
-        lines.append("Correlated: " + ", ".join(f"{r['name']}/{r['item']}={r['value']:.4f}" for r in strongest))
-    return "\n".join(lines)
+def profile_text(sections: DataFrame, df: DataFrame, shown: dict[str, int] | None = None) -> str:
+    """The rows of a profile as text, a paragraph per section, largest values first.
+
+    `shown` bounds the rows that reach the driver per section (statistics are left to the table); a paragraph
+    says how many are left out.
+    """
+    shown = {"table": 100, "missing": 50, "class": 50, "correlation": 10, **(shown or {})}
+    sizes = {r["section"]: r["count"] for r in sections.groupBy("section").count().collect()}
+    kinds = {"numeric": numeric_columns(df), "categorical": categorical_columns(df)}
+    paragraphs = [f"{kind}: {len(names)} ({', '.join(names) or 'none'})" for kind, names in kinds.items()]
+    for section, most in shown.items():
+        if not sizes.get(section):
+            continue
+        ranked = sections.filter(F.col("section") == section).orderBy(F.desc_nulls_last("value"), "name", "item").limit(most)
+        entries = []
+        for r in ranked.collect():
+            label = "/".join(x for x in (r["name"], r["item"]) if x is not None)
+            entries.append(f"{label} {'undefined' if r['value'] is None else format(r['value'], '.6g')}")
+        rest = sizes[section] - len(entries)
+        paragraphs.append(f"{section}: {'; '.join(entries)}{f'; and {rest} more' if rest else ''}")
+    return "\n".join(paragraphs)

@@ -84,22 +84,16 @@ def oversample_smote(
         return originals.withColumn(draw, F.lit(0).cast("bigint"))
     growing = join_lookup(originals, needs.filter(F.col("need") > 0).select(column(label), "need"), [label], "inner")
     growing = growing.drop("need")
-    neighbours = knn_join(
-        growing, growing, k, key, key, vector, vector, within=label, exclude_self=True
-    )
-    ends = neighbours.join(
-        growing.select(column(key).alias("neighbour_key"), column(vector).alias("_end")), "neighbour_key"
-    )
-    # k entries per row.
-    per_row = ends.groupBy(F.col("query_key").alias(key)).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "_end"))).alias("_ends")
-    )
-    base = _with_draws(originals, needs, label, [key], seed, "smote").filter("_draws > 0").join(per_row, key)
-    drawn = _numbered_draws(base, needs, [key], 1, draw)
+    # Only rows that give a draw look for neighbours, and only the chosen neighbour's vector moves.
+    base = _with_draws(originals, needs, label, [key], seed, "smote").filter("_draws > 0")
+    neighbours = knn_join(base, growing, k, key, key, vector, vector, within=label, exclude_self=True)
     digest = smote_digest(key, draw, seed)
-    chosen = F.col("_ends")[(F.pmod(digest_int(digest, 1), F.size("_ends"))).cast("int")]["_end"]
-    share = digest_int(digest, 9) / F.lit(4294967296.0)
-    drawn = drawn.withColumn("_share", share).withColumn("_to", chosen)
+    drawn = _numbered_draws(base, needs, [key], 1, draw)
+    drawn = drawn.withColumn("_rank", (F.pmod(digest_int(digest, 1), F.lit(k)) + 1).cast("int"))
+    drawn = drawn.withColumn("_share", digest_int(digest, 9) / F.lit(4294967296.0))
+    chosen = neighbours.select(column("query_key").alias(key), F.col("rank").cast("int").alias("_rank"), "neighbour_key")
+    drawn = drawn.join(chosen, [key, "_rank"])
+    drawn = drawn.join(growing.select(column(key).alias("neighbour_key"), column(vector).alias("_to")), "neighbour_key")
     between = F.zip_with(column(vector), F.col("_to"), lambda x, y: x + F.col("_share") * (y - x))
     synthetic = drawn.withColumn(vector, between).select(*[column(c) for c in originals.columns], draw)
     return originals.withColumn(draw, F.lit(0).cast("bigint")).unionByName(synthetic)

@@ -54,7 +54,6 @@ def kfold(
     row's place is its place in the range plus the sizes of the ranges before it.
     """
     by = [stratify] if stratify else []
-    k = min(k, CV_FOLDS)
     bits = max(0, math.ceil(math.log2(max(largest_group(df, by), 1) / hot_rows)) + 1) if hot_rows else 0
     ranges = df.withColumn("_hash", hash_int(keys, "fold", seed)).withColumn(
         "_range", F.shiftright(F.col("_hash"), 32 - min(bits, 32))

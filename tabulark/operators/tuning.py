@@ -104,7 +104,6 @@ def cross_val_score(
 
     Raises what a model raises, so that the caller decides what a failed trial is worth.
     """
-    folds = min(folds, CV_FOLDS)
     if fold_column is None:
         stratify = "label" if problem_type == "classification" else None
         fold_column, train = "fold", kfold(train, [key], folds, stratify=stratify)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
 import traceback
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,33 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulark.config import CV_FOLDS, LOOKUP_ROWS, MAX_ITERATIONS, SEED, TEST_FRACTION, TUNING_TRIALS
-from tabulark.functions.columns import column
-from tabulark.operators.preprocess import assemble, encode_target, preprocess
+from tabulark.config import CV_FOLDS, MAX_ITERATIONS, SEED, TEST_FRACTION, TUNING_TRIALS
+from tabulark.functions.columns import column, is_missing
+from tabulark.operators.preprocess import assemble, class_codes, custom_transform, fresh, preprocess
 from tabulark.operators.profile import profile, profile_text
 from tabulark.operators.ranking import best_run, convergence, hpo_candidate, rank_runs
 from tabulark.operators.sampling import oversample_random, oversample_smote
 from tabulark.operators.split import train_test_split
 from tabulark.operators.tuning import runs_frame, train_candidates, tune
 from tabulark.plans.goals import (
-    baseline_then_tune,
     complete_feature_plan,
     default_feature_plan,
     default_plan,
     merge_replan,
-    next_action,
     plan_from_goal,
     resolve_target,
+    tune_once,
     validate_goals,
 )
 from tabulark.plans.report import report_table
 from tabulark.sources.datasets import ROW_KEY, Catalog, load_dataset, with_row_key
+from tabulark.session import materialize
 from tabulark.sources.runlog import EXPERIMENTS, append_runs
 
 logger = logging.getLogger(__name__)
 
-_CLASSES_SHOWN = 50
-
 
 @dataclass
 class Outcome:
@@ -72,24 +70,31 @@ class PreparedData:
         self.test.unpersist()
 
 
-def class_labels(df: DataFrame, target: str) -> DataFrame:
-    """The target as `label` 0..k-1 in sorted order; rows without a target are left out."""
-    df = df.filter(column(target).isNotNull())
-    if isinstance(df.schema[target].dataType, T.NumericType):
-        values = [r[0] for r in df.select(column(target)).distinct().limit(LOOKUP_ROWS + 1).collect()]
-        if len(values) > LOOKUP_ROWS:
-            raise ValueError(f"target '{target}' has more than {LOOKUP_ROWS} values; is this a regression?")
-        values = sorted(v for v in values if v == v)
-        if values != list(range(len(values))):
-            pairs = df.sparkSession.createDataFrame(
-                [(v, float(i)) for i, v in enumerate(values)],
-                T.StructType([T.StructField("_class", df.schema[target].dataType), T.StructField("label", T.DoubleType())]),
-            )
-            # At most LOOKUP_ROWS rows, checked above.
-            return df.join(F.broadcast(pairs), column(target) == F.col("_class")).drop("_class", target)
-        return df.withColumn("label", column(target).cast("double")).drop(*([target] if target != "label" else []))
-    coded = encode_target(df, target).withColumn("label", column(target).cast("double"))
-    return coded.drop(*([target] if target != "label" else []))
+#: Names that the preparation works with; features of these names are renamed.
+_RESERVED = ("label", ROW_KEY, "split", "draw", "features", "fold")
+
+
+def _source(df: DataFrame, target: str, key: str, classification: bool) -> DataFrame:
+    """Row key, label and features under safe names; rows without a target are left out.
+
+    A class label is 0..k-1 in sorted order of the target.
+    """
+    features = [c for c in df.columns if c not in (target, key)]
+    taken = {c.lower() for c in df.columns} | set(_RESERVED)
+    renamed = {}
+    for c in features:
+        name = c
+        while name.lower() in _RESERVED or (name != c and name.lower() in taken):
+            name = f"{name}_feature"
+        taken.add(name.lower())
+        renamed[c] = name
+    aside, goal = fresh(df, "_key"), fresh(df, "_target")
+    plain = df.select(column(key).cast("string").alias(aside), column(target).alias(goal), *[column(c).alias(renamed[c]) for c in features])
+    if classification:
+        labelled = class_codes(plain, goal, "label")
+    else:
+        labelled = plain.filter(~is_missing(plain, goal)).withColumn("label", column(goal).cast("double"))
+    return labelled.select(column(aside).alias(ROW_KEY), "label", *[column(c) for c in renamed.values()])
 
 
 def prepare_data(
@@ -105,39 +110,51 @@ def prepare_data(
 ) -> PreparedData:
     """Split, prepared and persisted frames with `row_key`, `label` and `features`.
 
+    A user transform sees the features of the whole table, once. Classes are split in proportion, exactly.
     With `fit_scope="train"` features are fitted and classes balanced on the training rows only;
     `"all"` does both before the split. Every fit reads the source once, so it is kept until the
     prepared frames are there; pass `keep_source=False` if it is persisted already.
     """
     classification = problem_type == "classification"
-    if classification:
-        df = class_labels(df, target)
-    else:
-        df = df.filter(column(target).isNotNull()).withColumn("label", column(target).cast("double"))
-        df = df if target == "label" else df.drop(target)
-    df = df.withColumn(ROW_KEY, column(key).cast("string"))
-    df = df if key == ROW_KEY else df.drop(key)
-    keep = [ROW_KEY]
-    df = df.persist() if keep_source else df
+    df = _source(df, target, key, classification)
+    error, transform = None, feature_plan.get("custom_transform")
+    if transform is not None:
+        df, error = custom_transform(df, transform, hidden=[ROW_KEY, "label"])
+        feature_plan = {name: value for name, value in feature_plan.items() if name != "custom_transform"}
+    kept = df.persist() if keep_source or transform is None else df
+    try:
+        prepared = _prepared(kept, feature_plan, classification, fit_scope, test_fraction, seed)
+    finally:
+        if kept is not df or keep_source:
+            kept.unpersist()
+    prepared.error = error
+    return prepared
+
+
+def _prepared(df, feature_plan, classification, fit_scope, test_fraction, seed) -> PreparedData:
+    keep, by = [ROW_KEY], {"stratify": "label", "exact": True} if classification else {}
     if fit_scope == "all":
         ready = preprocess(df, "label", feature_plan, classification, keep)
         whole, notes = _balance(_vectors(ready.train, ready.features), feature_plan, classification, seed, ready.notes)
         # Synthetic rows are drawn once; both sides of the split read the same ones.
-        split = train_test_split(whole, [ROW_KEY], test_fraction, seed)
+        split = train_test_split(whole, [ROW_KEY], test_fraction, seed, **by)
         train, test = (split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
     else:
-        split = train_test_split(df, [ROW_KEY], test_fraction, seed)
+        split = train_test_split(df, [ROW_KEY], test_fraction, seed, **by)
         sides = [split.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
         ready = preprocess(sides[0], "label", feature_plan, classification, keep, [sides[1]])
         train, notes = _balance(_vectors(ready.train, ready.features), feature_plan, classification, seed, ready.notes)
         test = _vectors(ready.others[0], ready.features)
     train, test = train.persist(), test.persist()
-    top = train.agg(F.max("label")).first()[0]
-    test.count()
-    if keep_source:
-        df.unpersist()
-    if top is None:
-        raise ValueError("no training rows with a target")
+    try:
+        top = df.agg(F.max("label")).first()[0]
+        if train.count() == 0:
+            raise ValueError("no training rows with a target")
+        test.count()
+    except Exception:
+        train.unpersist()
+        test.unpersist()
+        raise
     classes = int(top) + 1 if classification else None
     return PreparedData(train, test, classes, ready.error, notes)
 
@@ -151,6 +168,7 @@ def _balance(df, feature_plan, classification, seed, notes):
     if not (wanted.get("apply") and classification):
         return df, notes
     method = wanted.get("method") or "smote"
+    df = materialize(df)  # the sampler reads it several times
     if method == "smote":
         arrays = df.withColumn("features", vector_to_array("features"))
         grown = oversample_smote(arrays, "label", ROW_KEY, "features", seed=seed, draw="draw")
@@ -171,7 +189,7 @@ def run_experiment(
     key: str | None = None,
     plan: dict | None = None,
     feature_plan: dict | None = None,
-    critic: Callable[[int, bool], dict] = baseline_then_tune,
+    critic: Callable[[int, bool], str] = tune_once,
     replanner: Callable[[dict, dict], tuple[dict | None, dict | None]] | None = None,
     custom_transform: Callable[[DataFrame], DataFrame] | None = None,
     out: str | None = None,
@@ -186,12 +204,12 @@ def run_experiment(
     """Load, profile, plan, prepare, train, rank, tune and report.
 
     `plan` and `feature_plan` replace the plans derived from the goal and the table.
-    `critic` decides after every ranking what happens next, `replanner` gives new plans
-    for the next iteration. `model_params` sets parameters per model, in tuning too.
+    `critic` decides after every ranking what happens next (`tune`, `replan` or `stop`), `replanner` gives new
+    plans for the next iteration; without one the plans stay as they are. `model_params` sets parameters per model, in tuning too.
     A failure ends in status `failed` with its message as the report.
     """
     wanted = validate_goals(goal, dataset)
-    experiment_id = experiment_id or hashlib.md5(f"{wanted.goal}:{wanted.dataset}".encode()).hexdigest()
+    experiment_id = experiment_id or uuid.uuid4().hex
     outcome = Outcome(experiment_id, "running")
     try:
         _run(
@@ -243,47 +261,49 @@ def _loop(
 
     records: list[dict] = []
     written, iteration, tuned, prepared = 0, 0, False, None
-    while True:
-        if prepared is None:
-            prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed, keep_source=False)
-            outcome.notes += prepared.notes
-            if prepared.error:
-                outcome.notes.append(f"custom transform left out: {prepared.error.strip().splitlines()[-1]}")
-            records += train_candidates(
-                prepared.train, prepared.test, plan["models"], plan["problem_type"], plan["metrics"],
-                ROW_KEY, iteration, model_params, len(records), prepared.classes,
-            )
-        runs = runs_frame(spark, records, outcome.experiment_id)
-        if out:
-            append_runs(runs.filter(F.col("seq") >= written), f"{out}/runs")
-            written = len(records)
-        metric = plan["primary_metric"]
-        state = convergence(runs, metric, max_iterations=max_iterations).filter(F.col("iteration") == iteration).first()
-        action = "report"
-        if not (state and state["should_stop"]):
-            action = next_action(critic(iteration, tuned))
-        if action == "hpo" and not tuned:
-            tuned = True
-            candidate = hpo_candidate(runs, metric).filter(F.col("iteration") == iteration).first()
-            if candidate is not None:
-                name = candidate["model_name"]
-                records.append(
-                    tune(
-                        prepared.train, prepared.test, name, plan["problem_type"], metric, plan["metrics"],
-                        ROW_KEY, iteration, n_trials, folds, seed, len(records), limits=model_params.get(name),
-                    )
+    try:
+        while True:
+            if prepared is None:
+                prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed, keep_source=False)
+                outcome.notes += prepared.notes
+                if prepared.error:
+                    outcome.notes.append(f"custom transform left out: {prepared.error.strip().splitlines()[-1]}")
+                records += train_candidates(
+                    prepared.train, prepared.test, plan["models"], plan["problem_type"], plan["metrics"],
+                    ROW_KEY, iteration, model_params, len(records), prepared.classes,
                 )
+            runs = runs_frame(spark, records, outcome.experiment_id)
+            if out:
+                append_runs(runs.filter(F.col("seq") >= written), f"{out}/runs")
+                written = len(records)
+            metric = plan["primary_metric"]
+            state = convergence(runs, metric, max_iterations=max_iterations).filter(F.col("iteration") == iteration).first()
+            action = "stop"
+            if iteration < max_iterations and not (state and state["should_stop"]):
+                action = critic(iteration, tuned)
+            if action == "tune" and not tuned:
+                tuned = True
+                candidate = hpo_candidate(runs, metric).filter(F.col("iteration") == iteration).first()
+                if candidate is not None:
+                    name = candidate["model_name"]
+                    records.append(
+                        tune(
+                            prepared.train, prepared.test, name, plan["problem_type"], metric, plan["metrics"],
+                            ROW_KEY, iteration, n_trials, folds, seed, len(records), limits=model_params.get(name),
+                        )
+                    )
+                    continue
+            if action == "replan":
+                prepared.release()
+                prepared, tuned = None, False
+                new = replanner(plan, feature_plan) if replanner else (None, None)
+                plan, feature_plan, iteration = merge_replan(plan, feature_plan, *new, iteration)
+                feature_plan = complete_feature_plan(feature_plan)
                 continue
-        if action == "replanner" and replanner is not None:
+            break
+    finally:
+        if prepared is not None:
             prepared.release()
-            prepared, tuned = None, False
-            plan, feature_plan, iteration = merge_replan(
-                plan, feature_plan, *replanner(plan, feature_plan), iteration
-            )
-            feature_plan = complete_feature_plan(feature_plan)
-            continue
-        break
-    prepared.release()
     outcome.iteration, outcome.plan, outcome.feature_plan = iteration, plan, feature_plan
     outcome.runs, outcome.rankings = runs, rank_runs(runs, metric)
     best = best_run(runs, metric).first()
@@ -298,9 +318,7 @@ def _summary(data: DataFrame, target: str, problem_type: str, out: str | None, e
     whole = profile(data, target if problem_type == "classification" else "")
     if out:
         whole.withColumn("experiment_id", F.lit(experiment_id)).write.mode("append").parquet(f"{out}/profiles")
-    rest = whole.filter("section <> 'class'").collect()
-    classes = whole.filter("section = 'class'").orderBy(F.desc("value"), "item").limit(_CLASSES_SHOWN).collect()
-    return profile_text([*rest, *classes], target, data)
+    return profile_text(whole, data)
 
 
 def experiment_row(spark: SparkSession, outcome: Outcome, goal: str, dataset: str) -> DataFrame:

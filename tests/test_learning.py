@@ -319,7 +319,7 @@ def test_failed_experiment_is_recorded(spark, tmp_path):
 
 def test_replanned_experiment_numbers_its_iterations(spark, ring):
     df = ring.selectExpr("row_key", "label AS target", "r")
-    critic = lambda iteration, tuned: {"should_continue": iteration < 2, "improvements": [{"action": "other"}]}
+    critic = lambda iteration, tuned: "replan" if iteration < 2 else "stop"
     outcome = run_experiment(
         spark, "Predict the ring", "ring", {"ring": lambda _: df}, key="row_key", critic=critic,
         plan={"models": ["logistic_regression"], "metrics": ["accuracy"]}, model_params=FAST,

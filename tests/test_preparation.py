@@ -2,13 +2,17 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabulark.functions.columns import categorical_columns, numeric_columns
 from tabulark.operators.preprocess import (
     custom_transform,
     encode_target,
+    f_classif,
+    f_regression,
     fill_remaining,
     fit_encode_label,
     fit_encode_onehot,
@@ -20,12 +24,12 @@ from tabulark.operators.preprocess import (
     preprocess,
     run_transform,
     select_k_best,
+    take_features,
 )
 from tabulark.operators.profile import (
     class_distribution,
     correlations,
     describe_numeric,
-    in_class_order,
     missing_by_column,
     profile,
     profile_text,
@@ -61,7 +65,7 @@ def test_an_empty_table_has_no_share_of_missing_cells(mixed):
 
 
 def test_classes_by_size_then_name(mixed):
-    assert [tuple(r) for r in in_class_order(class_distribution(mixed, "s")).collect()] == [("b", 2), ("a", 1)]
+    assert [tuple(r) for r in class_distribution(mixed, "s").orderBy(F.desc("count"), "class").collect()] == [("b", 2), ("a", 1)]
     assert class_distribution(mixed, "absent") is None
 
 
@@ -93,9 +97,11 @@ def test_wide_correlations_equal_narrow_ones(spark):
 
 
 def test_profile_text(mixed):
-    text = profile_text(profile(mixed, "s").collect(), "s", mixed)
-    assert text.startswith("Shape: 4 rows × 5 columns")
-    assert "Classes of s: b=2, a=1" in text
+    found = profile(mixed, "s")
+    text = profile_text(found, mixed)
+    assert "numeric: 2" in text or "numeric: 3" in text
+    assert "s/b 2" in text and "s/a 1" in text and "more" not in text
+    assert "and 1 more" in profile_text(found, mixed, {"class": 1})
 
 
 def test_imputation(mixed):
@@ -135,10 +141,65 @@ def test_onehot_drops_the_first_value_and_keeps_missing_at_zero(mixed):
     assert values(encoded, "f_True") == [1.0, 0.0, 0.0, 1.0]
 
 
-def test_wide_onehot_has_the_same_slots(mixed):
-    wide = fit_encode_onehot(mixed, ["s"], max_columns=0).apply(mixed)
-    dense = wide.select(vector_to_array("s").alias("s"), "konst").collect()
-    assert sorted(r["s"] for r in dense) == [[0.0], [0.0], [1.0], [1.0]]
+def test_onehot_vectors_have_the_same_slots(mixed):
+    fitted = fit_encode_onehot(mixed, ["s", "f"], expand=False)
+    assert fitted.params["slots"] == {"s": ["s_b"], "f": ["f_True"]}
+    dense = fitted.apply(mixed).select(vector_to_array("s").alias("s"), vector_to_array("f").alias("f"), "konst").collect()
+    assert sorted(r["s"] for r in dense) == [[0.0], [0.0], [1.0], [1.0]] and sorted(r["f"] for r in dense) == [[0.0], [0.0], [1.0], [1.0]]
+    unknown = mixed.withColumn("s", F.lit("new"))
+    assert {tuple(r["s"]) for r in fitted.apply(unknown).select(vector_to_array("s").alias("s")).collect()} == {(0.0,)}
+
+
+@pytest.mark.parametrize("method", ["select_k_best", "pca"])
+def test_selection_works_on_a_wide_text_column(spark, method):
+    rows = [(i, f"name{i % 260:03d}", float(i % 7), i % 2) for i in range(780)]
+    df = spark.createDataFrame(rows, "id int, name string, x double, y int")
+    plan = {"preprocessing_steps": [{"step": "encoding", "method": "onehot"}], "feature_selection": {"apply": True, "method": method, "n_features": 5}}
+    ready = preprocess(df, "y", plan, True, ["id"], [df.limit(3)])
+    assert len(ready.features) == 5 and ready.train.count() == 780 and ready.others[0].count() == 3
+    if method == "select_k_best":
+        assert all(f.startswith("name_") for f in ready.features)
+    else:
+        dense = np.array([[x, *(1.0 if n == f"name{j:03d}" else 0.0 for j in range(1, 260))] for _, n, x, _ in rows])
+        want = np.sort(np.linalg.eigvalsh(np.cov(dense.T)))[::-1][0]
+        assert math.isclose(ready.train.agg(F.var_samp("`0`")).first()[0], want, rel_tol=1e-6)
+        assert math.isclose(ready.train.agg(F.avg("`0`")).first()[0], 0.0, abs_tol=1e-9)
+
+
+def test_vector_scores_equal_column_scores(spark):
+    rows = [("abcd"[i % 4] if i % 5 else None, float(i % 7), i % 3, float(i * i % 11)) for i in range(120)]
+    df = spark.createDataFrame(rows, "c string, x double, y int, z double")
+    columns = fit_encode_onehot(df, ["c"]).apply(df)
+    fitted = fit_encode_onehot(df, ["c"], expand=False)
+    vectors, slots = fitted.apply(df), fitted.params["slots"]
+    for score, label in ((f_classif, "y"), (f_regression, "z")):
+        wide = {r["feature"]: r["score"] for r in score(columns, ["x", "c_b", "c_c", "c_d"], label).collect()}
+        sparse = {r["feature"]: r["score"] for r in score(vectors, ["x", "c"], label, slots).collect()}
+        assert wide.keys() == sparse.keys() and all(math.isclose(wide[k], sparse[k], rel_tol=1e-6, abs_tol=1e-9) for k in wide)
+
+
+def test_no_column_is_lost_by_its_name(spark):
+    df = spark.createDataFrame([("a", 1.0, 2), ("b", 3.0, 4)], "t string, value double, code int")
+    assert sorted(map(tuple, encode_target(df, "t").select("t", "value", "code").collect())) == [(0, 1.0, 2), (1, 3.0, 4)]
+    assert sorted(map(tuple, fit_encode_label(df, ["t"]).apply(df).select("t", "value", "code").collect())) == [(0, 1.0, 2), (1, 3.0, 4)]
+    assert fit_encode_onehot(df, ["t"], expand=False).apply(df).columns == ["value", "code", "t"]
+
+
+def test_unseen_categories_are_apart(spark):
+    train = spark.createDataFrame([("a",), ("b",), (None,)], "t string")
+    test = spark.createDataFrame([("a",), ("zz",), ("yy",), (None,)], "t string")
+    assert values(fit_encode_label(train, ["t"]).apply(test), "t") == [1, 3, 3, 0]
+
+
+def test_user_transform_does_not_see_the_label(spark):
+    df = spark.createDataFrame([("k1", 2.0, 10.0), ("k2", 3.0, 20.0)], "row_key string, only double, label double")
+    changed, error = custom_transform(df, interaction_feature, hidden=["row_key", "label"])
+    assert error is None and changed.columns == ["row_key", "label", "only"]
+    seen = []
+    custom_transform(df, lambda d: (seen.append((numeric_columns(d), categorical_columns(d))), d)[1], hidden=["row_key", "label"])
+    assert seen == [(["only"], [])]
+    _, error = custom_transform(df, lambda d: d.select("only"), hidden=["row_key", "label"])
+    assert "must keep" in error
 
 
 def test_label_codes_count_missing_as_text(mixed):
@@ -215,8 +276,9 @@ def test_preprocess_fits_on_train_only(spark):
         ]
     }
     ready = preprocess(train, "label", plan, True, others=[test])
-    assert ready.features == ["x", "s_b"]
-    assert [tuple(r) for r in ready.others[0].select("x", "s_b").collect()] == [(3.0, 0.0), (0.0, 0.0)]
+    assert ready.features == ["x", "s"] and ready.slots == {"s": ["s_b"]}
+    shown = take_features(ready.others[0], ready.features, ["x", "s_b"], ready.slots, [])
+    assert [tuple(r) for r in shown.select("x", "s_b").collect()] == [(3.0, 0.0), (0.0, 0.0)]
     assert any("no_such_step" in n for n in ready.notes)
 
 

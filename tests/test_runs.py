@@ -29,14 +29,14 @@ from tabulark.operators.runs import (
 )
 from tabulark.operators.traces import build_traces, trace_display, trace_totals
 from tabulark.plans.goals import (
-    baseline_then_tune,
+    decision_from_feedback,
     complete_feature_plan,
     default_feature_plan,
     default_plan,
     merge_replan,
-    next_action,
     plan_from_goal,
     resolve_target,
+    tune_once,
     validate_goals,
 )
 from tabulark.plans.report import report_lines, report_table
@@ -259,9 +259,11 @@ def test_plans():
 
 
 def test_decisions():
-    assert next_action(baseline_then_tune(0, False)) == "hpo"
-    assert next_action(baseline_then_tune(0, True)) == "report" and next_action({}) == "report"
-    assert next_action({"should_continue": True, "improvements": [{"action": "other"}]}) == "replanner"
+    assert (tune_once(0, False), tune_once(0, True), tune_once(1, False)) == ("tune", "stop", "stop")
+    assert decision_from_feedback({}) == "stop"
+    asked = [{"action": "other"}, {"action": "tune_hyperparameters"}]
+    assert decision_from_feedback({"should_continue": True, "improvements": asked}) == "tune"
+    assert decision_from_feedback({"should_continue": True, "improvements": asked[:1]}) == "replan"
 
 
 def test_the_session_names_the_shared_folder(spark):

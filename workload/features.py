@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabulark.functions.columns import numeric_columns
 from tabulark.operators.preprocess import (
     custom_transform,
     encode_target,
@@ -19,6 +21,7 @@ from tabulark.operators.preprocess import (
     interaction_feature,
     preprocess,
     select_k_best,
+    take_features,
 )
 from tabulark.operators.sampling import oversample_random, oversample_smote
 from tabulark.operators.split import kfold, train_test_split
@@ -310,16 +313,15 @@ def _(spark, sf):
         ORDER BY list_distance(a.x, b.x), b.vec_id) AS nn FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
     draws AS (SELECT vec_id, label, x, unnest(range(1, need // n + (rn <= need % n)::INTEGER + 1)) AS draw FROM d),
     s AS (SELECT *, md5(vec_id || ':' || draw || ':smote:42') AS h FROM draws)
-    SELECT vec_id, label, 0::BIGINT AS draw, round(list_sum(x), 6) AS total FROM v
+    SELECT vec_id, label, 0::BIGINT AS draw, unnest(range(0, 64))::INTEGER AS place, round(unnest(x), 6) AS value FROM v
     UNION ALL
-    SELECT s.vec_id, label, draw,
-      round(list_sum(x) + ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 * (list_sum(y) - list_sum(x)), 6)
+    SELECT s.vec_id, label, draw, unnest(range(0, 64))::INTEGER AS place,
+      round(unnest(list_transform(list_zip(x, y), lambda p: p[1] + ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 * (p[2] - p[1]))), 6)
     FROM s JOIN pairs p ON s.vec_id = p.vec_id AND nn = ('0x' || substr(h, 1, 8))::BIGINT % 5 + 1""",
 )
 def _(spark, sf):
     grown = oversample_smote(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
-    total = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return grown.select("vec_id", "label", "draw", F.round(total, 6).alias("total"))
+    return rounded(grown.select("vec_id", "label", "draw", F.posexplode("embedding").alias("place", "value")), 6, "value")
 
 
 @CHECKS.query(
@@ -346,4 +348,90 @@ def _(spark, sf):
         {"step": "encoding", "method": "onehot", "columns": "categorical"},
     ]
     ready = preprocess(source, "label", {"preprocessing_steps": steps}, True, keep=_LINE_KEYS)
-    return rounded(ready.train, 6, "l_quantity", "l_extendedprice")
+    names = [*(f for f in ready.features if f not in ready.slots), *(n for slots in ready.slots.values() for n in slots)]
+    shown = take_features(ready.train, ready.features, names, ready.slots, [*_LINE_KEYS, "label"])
+    return rounded(shown, 6, "l_quantity", "l_extendedprice")
+
+
+@CHECKS.query(
+    "encode_onehot_wide",
+    """SELECT c_custkey, nullif(dense_rank() OVER (ORDER BY c_name) - 2, -1)::BIGINT AS slot FROM customer""",
+)
+def _(spark, sf):
+    source = table(spark, sf, "customer").select("c_custkey", "c_name")
+    vectors = fit_encode_onehot(source, ["c_name"], expand=False).apply(source)
+    slot = F.array_position(vector_to_array("c_name"), F.lit(1.0)) - 1
+    return vectors.select("c_custkey", F.when(slot >= 0, slot).cast("long").alias("slot"))
+
+
+@CHECKS.query(
+    "select_k_best_wide",
+    """WITH c AS (SELECT c_name, c_mktsegment, count(*) OVER (PARTITION BY c_mktsegment) AS m, count(*) OVER () AS n,
+        row_number() OVER (ORDER BY c_name) AS no FROM customer),
+    k AS (SELECT count(DISTINCT c_mktsegment) AS k FROM customer)
+    -- one row has the slot, so the sums of squares are 1 / m between and 1 - 1 / m within
+    SELECT 'c_name_' || c_name AS feature, round(((1.0 / m - 1.0 / n) / (k - 1)) / ((1 - 1.0 / m) / (n - k)), 6) AS score
+    FROM c, k WHERE no > 1""",
+)
+def _(spark, sf):
+    source = table(spark, sf, "customer").select("c_name", "c_mktsegment")
+    fitted = fit_encode_onehot(source, ["c_name"], expand=False)
+    scores = f_classif(fitted.apply(source), ["c_name"], "c_mktsegment", fitted.params["slots"])
+    return rounded(scores.select("feature", "score"), 6, "score")
+
+
+@CHECKS.query(
+    "encode_label_clashing_names",
+    """SELECT event_id, value, (user_id % 7)::INTEGER AS code, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type FROM events""",
+)
+def _(spark, sf):
+    source = table(spark, sf, "events").select("event_id", "value", F.expr("cast(user_id % 7 as int)").alias("code"), "event_type")
+    return fit_encode_label(source, ["event_type"]).apply(source).select("event_id", "value", "code", "event_type")
+
+
+@CHECKS.query(
+    "encode_label_unseen",
+    """WITH seen AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events WHERE user_id % 2 = 0 AND event_type < 'p'
+        GROUP BY event_type)
+    SELECT event_id, coalesce(code, (SELECT count(*) FROM seen)) AS event_type FROM events LEFT JOIN seen USING (event_type)""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    fitted = fit_encode_label(events.filter("user_id % 2 = 0 and event_type < 'p'"), ["event_type"])
+    return fitted.apply(events.select("event_id", "event_type")).select("event_id", "event_type")
+
+
+@CHECKS.query(
+    "encode_label_texts",
+    "SELECT doc_id, dense_rank() OVER (ORDER BY text) - 1 AS text FROM documents",
+)
+def _(spark, sf):
+    source = table(spark, sf, "documents").select("doc_id", "text")
+    return fit_encode_label(source, ["text"]).apply(source).select("doc_id", "text")
+
+
+@CHECKS.query(
+    "custom_transform_hides_the_label",
+    """SELECT o_orderkey, label, o_totalprice, round(o_totalprice - avg(o_totalprice) OVER (), 4) AS centred, 1 AS n_numeric
+    FROM (SELECT o_orderkey, (o_orderstatus = 'F')::INTEGER AS label, o_totalprice FROM orders)""",
+)
+def _(spark, sf):
+    source = table(spark, sf, "orders").select("o_orderkey", F.expr("cast(o_orderstatus = 'F' as int)").alias("label"), "o_totalprice")
+
+    def transform(features):
+        mean = features.agg(F.avg("o_totalprice")).first()[0]
+        seen = F.lit(len(numeric_columns(features)))
+        return features.withColumn("centred", F.col("o_totalprice") - mean).withColumn("n_numeric", seen)
+
+    changed, error = custom_transform(source, transform, hidden=["o_orderkey", "label"])
+    if error:
+        raise RuntimeError(error)
+    return rounded(changed, 4, "centred")
+
+
+@CHECKS.query(
+    "kfold_seven",
+    f"""SELECT c_custkey, ((row_number() OVER (ORDER BY {hash_sql('c_custkey', 'fold')}, c_custkey) - 1) % 7)::INTEGER AS fold FROM customer""",
+)
+def _(spark, sf):
+    return kfold(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 7)

@@ -6,6 +6,7 @@ function that adds `prediction` and, for classes, `scores` (one number per class
 
 from __future__ import annotations
 
+import importlib.util
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +35,47 @@ MODELS = ("logistic_regression", "random_forest", "gradient_boosting", "xgboost"
 
 _DEPTH = 10  # where the parameter says unlimited
 _MAX_DEPTH = 30  # the deepest tree Spark grows
-_RANDOM_FEATURES = 100
 _NORMAL_EQUATION_COLUMNS = 4096
 
 
+_FOREST = {"n_estimators": 100, "max_depth": _DEPTH, "min_samples_split": 2, "min_samples_leaf": 1, "random_state": SEED}
+_BOOSTED = {**_FOREST, "subsample": 1.0}
+
+# What a parameter is where nobody sets it; by model, and for the linear and forest models by problem.
+_DEFAULTS = {
+    "logistic_regression": {"classification": {"C": 1.0, "max_iter": 1000}, "regression": {"alpha": 1.0, "max_iter": 1000}},
+    "random_forest": {"classification": {**_FOREST, "max_features": "sqrt"}, "regression": {**_FOREST, "max_features": "all"}},
+    "gradient_boosting": {**_BOOSTED, "max_depth": 3, "learning_rate": 0.1},
+    "xgboost": {**_BOOSTED, "max_depth": 6, "learning_rate": 0.3, "colsample_bytree": 1.0},
+    "svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale", "max_iter": 100, "random_features": 100},
+    "knn": {"n_neighbors": 5, "weights": "uniform", "metric": "minkowski"},
+}
+_XGBOOST_ONLY = ("reg_alpha", "reg_lambda")
+
+
 @dataclass(frozen=True)
 class Candidate:
     name: str
     problem_type: str
     params: dict = field(default_factory=dict)
 
+    @property
+    def settings(self) -> dict:
+        """All parameters that the fit uses, defaults included; unlimited depth is the depth that stands for it.
+
+        Parameters that the fit at hand does not know are named under `ignored`.
+        """
+        defaults = _DEFAULTS[self.name]
+        found = {**defaults.get(self.problem_type, defaults), **self.params}
+        if found.get("max_depth", 0) is None:
+            found["max_depth"] = _DEPTH
+        if found.get("max_depth", 0) > _MAX_DEPTH:
+            raise ValueError(f"max_depth is at most {_MAX_DEPTH}")
+        ignored = [n for n in _XGBOOST_ONLY if n in found] if self.name == "xgboost" and not _has_xgboost() else []
+        if ignored:
+            found = {n: v for n, v in found.items() if n not in ignored} | {"ignored": ",".join(ignored)}
+        return found
+
     def fit(self, train: DataFrame, classes: int | None = None, key: str | None = None) -> Predict:
         """Fit on `train`; `classes` is the number of label values 0..classes-1."""
         if self.problem_type == "classification":
@@ -52,6 +85,10 @@ class Candidate:
         return _FITS[self.name](self, train, classes, key)
 
 
+def _has_xgboost() -> bool:
+    return importlib.util.find_spec("xgboost") is not None
+
+
 def available_models(problem_type: str = "classification") -> list[str]:
     return list(MODELS)
 
@@ -78,13 +115,13 @@ def _scored(raw: str) -> Predict:
 
 
 def _fit_linear(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    p = model.params
+    p = model.settings
     if model.problem_type == "classification":
         fitted = LogisticRegression(
-            regParam=1.0 / (p.get("C", 1.0) * _rows(train)),
+            regParam=1.0 / (p["C"] * _rows(train)),
             elasticNetParam=0.0,
             standardization=False,
-            maxIter=int(p.get("max_iter", 1000)),
+            maxIter=int(p["max_iter"]),
         ).fit(train)
         return lambda df: _scored("probability")(fitted.transform(df))
     # The penalty is applied to labels divided by their deviation, so it is scaled back here.
@@ -92,46 +129,38 @@ def _fit_linear(model: Candidate, train: DataFrame, classes: int | None, key: st
     normal = len(train.select("features").first()[0]) <= _NORMAL_EQUATION_COLUMNS
     spread = row["pop"] if normal else row["samp"]
     fitted = LinearRegression(
-        regParam=p.get("alpha", 1.0) * (spread or 0.0) / max(row["n"], 1),
+        regParam=p["alpha"] * (spread or 0.0) / max(row["n"], 1),
         elasticNetParam=0.0,
         standardization=False,
         solver="normal" if normal else "l-bfgs",
-        maxIter=int(p.get("max_iter", 1000)),
+        maxIter=int(p["max_iter"]),
     ).fit(train)
     return fitted.transform
 
 
 def tree_params(params: dict) -> dict:
-    depth = params.get("max_depth", _DEPTH)
-    leaf = max(int(params.get("min_samples_leaf", 1)), math.ceil(params.get("min_samples_split", 2) / 2))
-    return {
-        "maxDepth": min(int(_DEPTH if depth is None else depth), _MAX_DEPTH),
-        "minInstancesPerNode": leaf,
-        "seed": int(params.get("random_state", SEED)),
-    }
+    leaf = max(int(params["min_samples_leaf"]), math.ceil(params["min_samples_split"] / 2))
+    return {"maxDepth": int(params["max_depth"]), "minInstancesPerNode": leaf, "seed": int(params["random_state"])}
 
 
 def _fit_forest(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    p = model.params
-    settings = {**tree_params(p), "numTrees": int(p.get("n_estimators", 100))}
+    p = model.settings
+    settings = {**tree_params(p), "numTrees": int(p["n_estimators"]), "featureSubsetStrategy": p["max_features"]}
     if model.problem_type == "classification":
-        settings["featureSubsetStrategy"] = p.get("max_features", "sqrt")
         fitted = RandomForestClassifier(**settings).fit(train)
         return lambda df: _scored("probability")(fitted.transform(df))
-    settings["featureSubsetStrategy"] = p.get("max_features", "all")
     return RandomForestRegressor(**settings).fit(train).transform
 
 
-def boosting_params(params: dict, depth: int, rate: float) -> dict:
+def boosting_params(params: dict) -> dict:
     settings = {
-        **tree_params({"max_depth": depth, **params}),
-        "maxIter": int(params.get("n_estimators", 100)),
-        "stepSize": float(params.get("learning_rate", rate)),
-        "subsamplingRate": float(params.get("subsample", 1.0)),
+        **tree_params(params),
+        "maxIter": int(params["n_estimators"]),
+        "stepSize": float(params["learning_rate"]),
+        "subsamplingRate": float(params["subsample"]),
     }
-    fraction = params.get("colsample_bytree")
-    if fraction is not None and fraction < 1.0:
-        settings["featureSubsetStrategy"] = str(fraction)
+    if params.get("colsample_bytree", 1.0) < 1.0:
+        settings["featureSubsetStrategy"] = str(params["colsample_bytree"])
     return settings
 
 
@@ -146,16 +175,16 @@ def _fit_boosted(settings: dict, model: Candidate, train: DataFrame, classes: in
 
 
 def _fit_boosting(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    return _fit_boosted(boosting_params(model.params, 3, 0.1), model, train, classes)
+    return _fit_boosted(boosting_params(model.settings), model, train, classes)
 
 
 def _fit_xgboost(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
     """The distributed learner of the package where it is installed, else Spark's boosting."""
-    p = model.params
-    try:
-        from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
-    except ImportError:
-        return _fit_boosted(boosting_params(p, 6, 0.3), model, train, classes)
+    p = model.settings
+    if not _has_xgboost():
+        return _fit_boosted(boosting_params(p), model, train, classes)
+    from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
+
     known = ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda")
     settings = {k: p[k] for k in known if k in p}
     if model.problem_type != "classification":
@@ -164,18 +193,20 @@ def _fit_xgboost(model: Candidate, train: DataFrame, classes: int | None, key: s
     return lambda df: _scored("probability")(fitted.transform(df))
 
 
-def kernel_features(train: DataFrame, kernel: str, gamma: str | float, size: int = _RANDOM_FEATURES) -> Predict:
+def kernel_features(train: DataFrame, kernel: str, gamma: str | float, size: int = 100) -> Predict:
     """Random features whose products approximate an RBF or cubic kernel.
 
     RBF: cosines of random projections. Cubic: products of three random sign projections.
     The projection is width × size numbers, drawn from the fixed seed.
     """
-    x = vector_to_array("features")
     width = len(train.select("features").first()[0])
     if gamma == "auto":
         scale = 1.0 / width
     elif gamma == "scale":
-        cells = train.select(F.explode(x).alias("x")).agg(F.var_pop("x")).first()[0]
+        found = train.agg(Summarizer.metrics("mean", "normL2", "count").summary(F.col("features")).alias("s")).first()["s"]
+        mean = float(found["mean"].toArray().mean()) if found["count"] else 0.0
+        square = float((found["normL2"].toArray() ** 2).sum()) / max(found["count"] * width, 1)
+        cells = max(square - mean * mean, 0.0)
         scale = 1.0 / (width * cells) if cells else 1.0
     else:
         scale = float(gamma)
@@ -200,10 +231,10 @@ def kernel_features(train: DataFrame, kernel: str, gamma: str | float, size: int
 
 
 def _fit_svm(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    p = model.params
-    lift = kernel_features(train, p.get("kernel", "rbf"), p.get("gamma", "scale"))
-    penalty = 1.0 / (p.get("C", 1.0) * _rows(train))
-    iterations = int(p.get("max_iter", 100))  # the robust loss needs about as many
+    p = model.settings
+    lift = kernel_features(train, p["kernel"], p["gamma"], int(p["random_features"]))
+    penalty = 1.0 / (p["C"] * _rows(train))
+    iterations = int(p["max_iter"])  # the robust loss needs about as many as the default
     lifted = lift(train).persist()
     try:
         if model.problem_type != "classification":
@@ -226,15 +257,15 @@ def _fit_svm(model: Candidate, train: DataFrame, classes: int | None, key: str |
 def _fit_knn(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
     if key is None:
         raise ValueError("knn needs the name of a unique key column")
-    p = model.params
-    k, weights = int(p.get("n_neighbors", 5)), p.get("weights", "uniform")
+    p = model.settings
+    k, weights = int(p["n_neighbors"]), p["weights"]
 
     def vectors(df: DataFrame) -> DataFrame:
         return df.withColumn("_x", vector_to_array("features"))
 
     def predict(df: DataFrame) -> DataFrame:
         found = knn_join(
-            vectors(df), vectors(train), k, key, key, "_x", "_x", metric=p.get("metric", "minkowski"), carry="label"
+            vectors(df), vectors(train), k, key, key, "_x", "_x", metric=p["metric"], carry="label"
         )
         if model.problem_type == "classification":
             voted = knn_classify(found, "label", classes, weights)

@@ -12,7 +12,6 @@ from tabulark.functions.columns import column
 from tabulark.functions.text import format_metrics, stage_label
 from tabulark.operators.ordered import numbered
 
-_METRIC_NAMES = 1000  # distinct metric names that may become columns
 
 
 def list_experiments(experiments: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -89,12 +88,8 @@ def experiment_items(experiments: DataFrame, runs: DataFrame, traces: DataFrame)
 
 
 def metric_names(runs: DataFrame) -> list[str]:
-    rows = (
-        runs.select(F.explode(F.map_keys("metrics")).alias("name")).distinct().limit(_METRIC_NAMES + 1).collect()
-    )
-    if len(rows) > _METRIC_NAMES:
-        raise ValueError(f"more than {_METRIC_NAMES} metric names; use log_metrics for the long form")
-    return sorted(r["name"] for r in rows)
+    """All names in sorted order; each becomes a column of a pivot, so they belong to the driver."""
+    return sorted(r["name"] for r in runs.select(F.explode(F.map_keys("metrics")).alias("name")).distinct().collect())
 
 
 def pivot_metrics(runs: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

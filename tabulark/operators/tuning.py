@@ -104,20 +104,26 @@ def cross_val_score(
 
     Raises what a model raises, so that the caller decides what a failed trial is worth.
     """
-    if fold_column is None:
+    own = fold_column is None
+    if own:
         stratify = "label" if problem_type == "classification" else None
-        fold_column, train = "fold", kfold(train, [key], folds, stratify=stratify)
-    classes = int(train.agg(F.max("label")).first()[0]) + 1 if problem_type == "classification" else None
-    model, metric = make_model(name, problem_type, params), scoring_metric(metric, problem_type)
-    values = []
-    for fold in range(folds):
-        predict = model.fit(train.filter(F.col(fold_column) != fold), classes, key)
-        held_out = predict(train.filter(F.col(fold_column) == fold))
-        found, _ = score_predictions(held_out, problem_type, [metric], average="weighted")
-        if found.get(metric) is None:
-            raise ValueError(f"{metric} is not defined in fold {fold}")
-        values.append(found[metric])
-    return sum(values) / len(values)
+        # Every fold reads the frame twice, so the folded one is kept.
+        fold_column, train = "fold", kfold(train, [key], folds, stratify=stratify).persist()
+    try:
+        classes = int(train.agg(F.max("label")).first()[0]) + 1 if problem_type == "classification" else None
+        model, metric = make_model(name, problem_type, params), scoring_metric(metric, problem_type)
+        values = []
+        for fold in range(folds):
+            predict = model.fit(train.filter(F.col(fold_column) != fold), classes, key)
+            held_out = predict(train.filter(F.col(fold_column) == fold))
+            found, _ = score_predictions(held_out, problem_type, [metric], average="weighted")
+            if found.get(metric) is None:
+                raise ValueError(f"{metric} is not defined in fold {fold}")
+            values.append(found[metric])
+        return sum(values) / len(values)
+    finally:
+        if own:
+            train.unpersist()
 
 
 def _record(name, params, metrics, iteration, stage, seq, error=None) -> dict:
@@ -160,11 +166,12 @@ def train_candidates(
     for offset, name in enumerate(models):
         chosen = (params or {}).get(name, {})
         try:
-            predict = make_model(name, problem_type, chosen).fit(train, classes, key)
+            model = make_model(name, problem_type, chosen)
+            predict = model.fit(train, classes, key)
             found, note = score_predictions(predict(test), problem_type, metrics)
             if note:
                 logger.warning("%s: %s", name, note)
-            records.append(_record(name, chosen, found, iteration, stage, first_seq + offset))
+            records.append(_record(name, model.settings, found, iteration, stage, first_seq + offset))
         except Exception as problem:  # noqa: BLE001 - the record carries it
             logger.error("training %s failed: %s", name, problem)
             records.append(_record(name, {}, {}, iteration, stage, first_seq + offset, str(problem)))
@@ -186,6 +193,7 @@ def tune(
     seq: int = 0,
     parallelism: int = 2,
     limits: dict | None = None,
+    classes: int | None = None,
 ) -> dict:
     """Random search by cross-validation, refit on all training rows, scored on the test rows.
 
@@ -217,8 +225,9 @@ def tune(
     best = (min if lower else max)(range(len(trials)), key=lambda i: values[i])
     if math.isinf(values[best]):
         raise RuntimeError(f"every tuning trial of {name} failed")
-    predict = make_model(name, problem_type, trials[best]).fit(train, None, key)
+    model = make_model(name, problem_type, trials[best])
+    predict = model.fit(train, classes, key)
     found, _ = score_predictions(predict(test), problem_type, metrics)
-    record = _record(name, trials[best], found, iteration, "hpo", seq)
+    record = _record(name, model.settings, found, iteration, "hpo", seq)
     record["parameters"].update({"n_trials": str(n_trials), "best_trial_value": str(values[best])})
     return record

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 import traceback
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,7 +37,7 @@ from tabulark.plans.goals import (
 from tabulark.plans.report import report_table
 from tabulark.sources.datasets import ROW_KEY, Catalog, load_dataset, with_row_key
 from tabulark.session import materialize
-from tabulark.sources.runlog import EXPERIMENTS, append_runs
+from tabulark.sources.runlog import EXPERIMENTS, append_runs, append_traces, complete_traces
 
 logger = logging.getLogger(__name__)
 
@@ -55,6 +57,16 @@ class Outcome:
     runs: DataFrame | None = None
     rankings: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
+    steps: list[tuple[str, float]] = field(default_factory=list)
+
+    @contextmanager
+    def step(self, name: str):
+        """Notes how long a step took, also if it fails."""
+        start = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.steps.append((name, time.perf_counter() - start))
 
 
 @dataclass
@@ -211,6 +223,8 @@ def run_experiment(
     wanted = validate_goals(goal, dataset)
     experiment_id = experiment_id or uuid.uuid4().hex
     outcome = Outcome(experiment_id, "running")
+    if out:
+        _record_state(spark, outcome, wanted, out)
     try:
         _run(
             spark, wanted, catalog, key, plan, feature_plan, critic, replanner, custom_transform, out,
@@ -221,10 +235,24 @@ def run_experiment(
         logger.error("experiment %s failed: %s\n%s", experiment_id, problem, traceback.format_exc())
         outcome.status, outcome.report = "failed", f"Experiment failed: {problem}"
     if out:
-        experiment_row(spark, outcome, wanted.goal, wanted.dataset).write.mode("append").parquet(f"{out}/experiments")
+        _record_state(spark, outcome, wanted, out)
+        append_traces(step_traces(spark, outcome), f"{out}/traces")
     return outcome
 
 
+def _record_state(spark: SparkSession, outcome: Outcome, wanted, out: str) -> None:
+    """One more row of the experiment; `latest_experiments` reads the last of each."""
+    row = experiment_row(spark, outcome, wanted.goal, wanted.dataset)
+    row.write.mode("append").parquet(f"{out}/experiments")
+
+
+def step_traces(spark: SparkSession, outcome: Outcome) -> DataFrame:
+    """One trace for each step the loop took, with its seconds; it calls no model service, so tokens and cost are 0."""
+    rows = [(outcome.experiment_id, name, seconds) for name, seconds in outcome.steps]
+    frame = spark.createDataFrame(rows, "experiment_id string, agent_name string, latency double")
+    return complete_traces(frame.withColumn("created_at", F.current_timestamp()))
+
+
 def _run(
     spark, wanted, catalog, key, plan, feature_plan, critic, replanner, custom_transform, out,
     max_iterations, n_trials, folds, model_params, fit_scope, seed, outcome,
@@ -252,7 +280,8 @@ def _loop(
     if guessed:
         outcome.notes.append(f"target not found, took the last column '{target}'")
     data = df.select(*[column(c) for c in features_of])
-    outcome.summary = _summary(data, target, plan["problem_type"], out, outcome.experiment_id)
+    with outcome.step("profile"):
+        outcome.summary = _summary(data, target, plan["problem_type"], out, outcome.experiment_id)
     if feature_plan is None:
         feature_plan = default_feature_plan(len(features_of))
     feature_plan = complete_feature_plan(feature_plan)
@@ -264,14 +293,16 @@ def _loop(
     try:
         while True:
             if prepared is None:
-                prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed, keep_source=False)
+                with outcome.step("prepare"):
+                    prepared = prepare_data(df, target, key, feature_plan, plan["problem_type"], fit_scope, seed=seed, keep_source=False)
                 outcome.notes += prepared.notes
                 if prepared.error:
                     outcome.notes.append(f"custom transform left out: {prepared.error.strip().splitlines()[-1]}")
-                records += train_candidates(
-                    prepared.train, prepared.test, plan["models"], plan["problem_type"], plan["metrics"],
-                    ROW_KEY, iteration, model_params, len(records), prepared.classes,
-                )
+                with outcome.step("train"):
+                    records += train_candidates(
+                        prepared.train, prepared.test, plan["models"], plan["problem_type"], plan["metrics"],
+                        ROW_KEY, iteration, model_params, len(records), prepared.classes,
+                    )
             runs = runs_frame(spark, records, outcome.experiment_id)
             if out:
                 append_runs(runs.filter(F.col("seq") >= written), f"{out}/runs")
@@ -286,12 +317,12 @@ def _loop(
                 candidate = hpo_candidate(runs, metric).filter(F.col("iteration") == iteration).first()
                 if candidate is not None:
                     name = candidate["model_name"]
-                    records.append(
-                        tune(
-                            prepared.train, prepared.test, name, plan["problem_type"], metric, plan["metrics"],
-                            ROW_KEY, iteration, n_trials, folds, seed, len(records), limits=model_params.get(name),
+                    with outcome.step("tune"):
+                        tuned_run = tune(
+                            prepared.train, prepared.test, name, plan["problem_type"], metric, plan["metrics"], ROW_KEY,
+                            iteration, n_trials, folds, seed, len(records), limits=model_params.get(name), classes=prepared.classes,
                         )
-                    )
+                    records.append(tuned_run)
                     continue
             if action == "replan":
                 prepared.release()

@@ -115,6 +115,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
+def latest_experiments(experiments: DataFrame) -> DataFrame:
+    """The last state of each experiment, of equal times the one that is further on; the first `created_at` stays."""
+    done = F.when(F.col("status").isin("completed", "failed"), 2).when(F.col("status") == "running", 1).otherwise(0)
+    rest = [c for c in EXPERIMENTS.fieldNames() if c not in ("experiment_id", "created_at")]
+    last = F.max_by(F.struct(*rest), F.struct("updated_at", done))
+    found = experiments.groupBy("experiment_id").agg(last.alias("last"), F.min("created_at").alias("created_at"))
+    return found.select("experiment_id", "created_at", "last.*").select(*EXPERIMENTS.fieldNames())
+
+
 def append_results(earlier: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier and new records together, duplicates kept."""
     return earlier.unionByName(new, allowMissingColumns=True)
@@ -147,8 +156,3 @@ def log_metrics(runs: DataFrame, step: Column | None = None) -> DataFrame:
     """Metrics as (run_id, key, value, step) rows."""
     step = F.col("iteration") if step is None else step
     return runs.select("run_id", F.explode("metrics").alias("key", "value"), step.cast("bigint").alias("step"))
-
-
-def to_json_text(value: Column) -> Column:
-    """A nested record as JSON text for a sink without nested types."""
-    return F.to_json(value)

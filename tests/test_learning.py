@@ -23,7 +23,7 @@ from tabulark.operators.tuning import (
 )
 from tabulark.plans.experiment import prepare_data, run_experiment
 from tabulark.plans.goals import default_feature_plan
-from tabulark.sources.runlog import EXPERIMENTS, RUNS, read_table
+from tabulark.sources.runlog import EXPERIMENTS, RUNS, TRACES, latest_experiments, read_table
 
 
 @pytest.fixture(scope="module")
@@ -305,8 +305,14 @@ def test_experiment(spark, small, tmp_path):
     assert outcome.report.startswith("# ML Experiment Report") and "logistic_regression" in outcome.report
     stages = sorted((r["stage"], r["error"] is None) for r in read_table(spark, f"{out}/runs", RUNS).collect())
     assert stages == [("hpo", True), ("initial", False), ("initial", True)]
-    kept = read_table(spark, f"{out}/experiments", EXPERIMENTS).first()
+    states = read_table(spark, f"{out}/experiments", EXPERIMENTS)
+    assert sorted(r["status"] for r in states.collect()) == ["completed", "running"]
+    kept = latest_experiments(states).first()
     assert kept["status"] == "completed" and kept["experiment_id"] == outcome.experiment_id
+    steps = read_table(spark, f"{out}/traces", TRACES).collect()
+    assert sorted(r["agent_name"] for r in steps) == ["prepare", "profile", "train", "tune"] and all(r["latency"] > 0 for r in steps)
+    parameters = {r["stage"]: r["parameters"] for r in read_table(spark, f"{out}/runs", RUNS).filter("error is null").collect()}
+    assert {"C", "max_iter"} <= set(parameters["initial"]) and {"C", "max_iter", "n_trials"} <= set(parameters["hpo"])
     assert [r["rank"] for r in outcome.rankings.orderBy("rank").collect()] == [1, 2]
 
 
@@ -314,7 +320,33 @@ def test_failed_experiment_is_recorded(spark, tmp_path):
     out = str(tmp_path / "out")
     outcome = run_experiment(spark, "Predict nothing", str(tmp_path / "absent.csv"), out=out)
     assert outcome.status == "failed" and "not found" in outcome.report
-    assert read_table(spark, f"{out}/experiments", EXPERIMENTS).first()["status"] == "failed"
+    again = run_experiment(spark, "Predict nothing", str(tmp_path / "absent.csv"), out=out)
+    found = latest_experiments(read_table(spark, f"{out}/experiments", EXPERIMENTS)).collect()
+    assert {r["experiment_id"]: r["status"] for r in found} == {outcome.experiment_id: "failed", again.experiment_id: "failed"}
+    assert outcome.experiment_id != again.experiment_id
+
+
+def test_settings_name_every_parameter():
+    model = make_model("xgboost", "classification", {"reg_alpha": 1.0, "max_depth": None})
+    assert model.settings["ignored"] == "reg_alpha" and model.settings["max_depth"] == 10 and model.settings["n_estimators"] == 100
+    with pytest.raises(ValueError, match="max_depth"):
+        make_model("random_forest", "classification", {"max_depth": 31}).settings
+    assert make_model("logistic_regression", "regression").settings == {"alpha": 1.0, "max_iter": 1000}
+
+
+@pytest.mark.parametrize("target", ["number", "text"])
+def test_prepared_data_is_right_for_any_names(spark, target):
+    rows = [(i, float(i % 3 + 1) if i % 10 else float("nan"), "xyz"[i % 3] if i % 10 else None, i % 7, i % 5, "ab"[i % 2], float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, number double, text string, label int, split int, row_key string, value double")
+    df = df.drop("text" if target == "number" else "number")
+    plan = {**default_feature_plan(4), "custom_transform": lambda d: d.withColumn("mean", F.lit(d.agg(F.avg("value")).first()[0]))}
+    data = prepare_data(df, target, "id", plan, "classification")
+    assert data.error is None and data.classes == 3
+    sides = {s: {r["label"]: r["count"] for r in d.groupBy("label").count().collect()} for s, d in (("train", data.train), ("test", data.test))}
+    assert sides == {"train": {0.0: 96, 1.0: 96, 2.0: 96}, "test": {0.0: 24, 1.0: 24, 2.0: 24}}
+    assert len(data.train.first()["features"]) == 5
+    assert not set(r["row_key"] for r in data.train.collect()) & set(r["row_key"] for r in data.test.collect())
+    data.release()
 
 
 def test_replanned_experiment_numbers_its_iterations(spark, ring):

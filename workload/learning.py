@@ -94,14 +94,18 @@ def _(spark, sf):
 
 @CHECKS.query(
     "roc_auc_ovr",
-    f"""WITH s AS (SELECT label AS y, unnest(embedding[1:10]) AS score, generate_subscripts(embedding[1:10], 1) - 1 AS class FROM embeddings),
+    f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1) % 10 AS class FROM embeddings),
+    s AS (SELECT vec_id, label AS y, class, round(sum(x), 6) AS score FROM e GROUP BY ALL),
     r AS (SELECT class, (y = class)::INTEGER AS label, rank() OVER (PARTITION BY class ORDER BY score) AS r,
       count(*) OVER (PARTITION BY class, score) AS t FROM s),
     a AS (SELECT class, {_AREA} AS area, count_if(label = 1) AS pos FROM r GROUP BY class)
     SELECT round(sum(area * pos) / sum(pos), 8) AS roc_auc FROM a""",
 )
 def _(spark, sf):
-    scored = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 10).alias("scores"))
+    # Ten scores of a vector: the sums of its numbers by place modulo ten.
+    numbers = F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), (i % 10).alias("c")))
+    total = lambda c: F.round(F.aggregate(F.filter(numbers, lambda s: s["c"] == c), F.lit(0.0), lambda a, s: a + s["x"]), 6)
+    scored = table(spark, sf, "embeddings").select("label", F.array(*[total(c) for c in range(10)]).alias("scores"))
     return rounded(roc_auc_ovr(scored, "label", "scores"), 8, "roc_auc")
 
 
@@ -246,49 +250,114 @@ def _(spark, sf):
 
 @CHECKS.query("train_random_forest")
 def _(spark, sf):
-    return _scores(
-        spark, _statuses(spark, sf), "random_forest", "classification", _CLASS_METRICS, {"n_estimators": 20, "max_depth": 5}
-    )
+    return _scores(spark, _statuses(spark, sf), "random_forest", "classification", _CLASS_METRICS, {})
 
 
 @CHECKS.query("train_random_forest_regression")
 def _(spark, sf):
-    params = {"n_estimators": 10, "max_depth": 5}
-    return _scores(spark, _prices(spark, sf), "random_forest", "regression", ["rmse", "mae", "r2"], params)
+    return _scores(spark, _prices(spark, sf), "random_forest", "regression", ["rmse", "mae", "r2"], {})
 
 
 @CHECKS.query("train_gradient_boosting")
 def _(spark, sf):
-    params = {"n_estimators": 5, "max_depth": 3}
-    return _scores(spark, _statuses(spark, sf), "gradient_boosting", "classification", _CLASS_METRICS, params)
+    return _scores(spark, _statuses(spark, sf), "gradient_boosting", "classification", _CLASS_METRICS, {})
 
 
 @CHECKS.query("train_xgboost")
 def _(spark, sf):
-    params = {"n_estimators": 5, "max_depth": 4, "subsample": 0.8, "colsample_bytree": 0.8}
+    params = {"subsample": 0.8, "colsample_bytree": 0.8}
     return _scores(spark, _prices(spark, sf), "xgboost", "regression", ["rmse", "mae", "r2"], params)
 
 
 @CHECKS.query("train_svm")
 def _(spark, sf):
-    return _scores(spark, _quality(spark, sf), "svm", "classification", _CLASS_METRICS, {"max_iter": 10})
+    return _scores(spark, _quality(spark, sf), "svm", "classification", _CLASS_METRICS, {})
 
 
 @CHECKS.query("train_svm_regression")
 def _(spark, sf):
     df = labelled(spark, sf).select("doc_id", "lang", "n_words", "n_lines", F.col("n_chars").alias("target"))
     data = prepare_data(df, "target", "doc_id", default_feature_plan(4), "regression")
-    return _scores(spark, data, "svm", "regression", ["rmse", "mae", "r2"], {"max_iter": 50})
+    return _scores(spark, data, "svm", "regression", ["rmse", "mae", "r2"], {})
 
 
-@CHECKS.query("predict")
+_GROUPED = """WITH g AS (SELECT (o_totalprice > 150000)::INTEGER AS x, (o_orderstatus = 'F')::INTEGER AS y, o_totalprice AS v FROM orders)"""
+
+
+def _binary(spark, sf):
+    """Orders with one feature of two values."""
+    df = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("row_key"), F.expr("cast(o_totalprice > 150000 as double)").alias("x"),
+        F.expr("cast(o_orderstatus = 'F' as double)").alias("label"), "o_totalprice",
+    )
+    return assemble(df, ["x"]).withColumn("x", vector_to_array("features")[0].cast("int"))
+
+
+def _by_value(predicted, value, digits):
+    return rounded(predicted.groupBy("x").agg(F.max(value).alias("value"), F.count("*").alias("n")), digits, "value")
+
+
+@CHECKS.query("train_logistic_one_feature", f"{_GROUPED} SELECT x, round(avg(y), 3) AS value, count(*) AS n FROM g GROUP BY x")
+def _(spark, sf):
+    """Without a penalty and with one feature of two values, the model gives each value its own share of ones."""
+    df = _binary(spark, sf)
+    predict = make_model("logistic_regression", "classification", {"C": 1e9}).fit(df, 2)
+    return _by_value(predict(df), F.col("scores")[1], 3)
+
+
+@CHECKS.query(
+    "train_boosting_classes_one_round",
+    f"{_GROUPED} SELECT x, round(1 / (1 + exp(-2 * avg(2 * y - 1))), 6) AS value, count(*) AS n FROM g GROUP BY x",
+)
+def _(spark, sf):
+    """One round of one split fits the mean of labels -1 and 1; the score is its logistic at twice the margin."""
+    df = _binary(spark, sf)
+    params = {"n_estimators": 1, "max_depth": 1}
+    return _by_value(make_model("gradient_boosting", "classification", params).fit(df, 2)(df), F.col("scores")[1], 6)
+
+
+@CHECKS.query("train_boosting_one_round", f"{_GROUPED} SELECT x, round(avg(v), 2) AS value, count(*) AS n FROM g GROUP BY x")
+def _(spark, sf):
+    df = _binary(spark, sf).withColumn("label", F.col("o_totalprice"))
+    params = {"n_estimators": 1, "max_depth": 1}
+    return _by_value(make_model("gradient_boosting", "regression", params).fit(df)(df), "prediction", 2)
+
+
+@CHECKS.query(
+    "prepare_data_stratified",
+    """WITH n AS (SELECT dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS label, count(*) AS n FROM orders GROUP BY o_orderstatus)
+    SELECT 'test' AS side, label::DOUBLE AS label, round(n * 0.2)::BIGINT AS n FROM n
+    UNION ALL SELECT 'train', label::DOUBLE, n - round(n * 0.2)::BIGINT FROM n""",
+)
 def _(spark, sf):
     data = _statuses(spark, sf)
-    predict = make_model("logistic_regression", "classification", {"max_iter": 20}).fit(data.train, data.classes)
-    return predict(data.test).select("row_key", "label", "prediction", "scores")
+    sides = data.train.withColumn("side", F.lit("train")).unionByName(data.test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side", "label").agg(F.count("*").alias("n"))
+
+
+@CHECKS.query(
+    "prepare_data_clashing_names",
+    """SELECT count(*) AS n, count(CASE WHEN event_id % 11 <> 0 THEN value END) AS labelled, 5 AS n_features FROM events""",
+)
+def _(spark, sf):
+    """Features named like the columns that the preparation works with, and a target with NULL and NaN."""
+    events = table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.expr("CASE WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END").alias("target"),
+        F.col("value").alias("value"), F.expr("user_id % 7").alias("code"), F.expr("user_id % 5").alias("label"),
+        F.expr("user_id % 3").alias("split"), F.expr("cast(user_id % 2 as double)").alias("row_key"),
+    )
+    plan = {"preprocessing_steps": [{"step": "scaling", "method": "standard", "columns": "numeric"}]}
+    data = prepare_data(events, "target", "id", plan, "regression")
+    whole = data.train.unionByName(data.test)
+    width = F.max(F.size(vector_to_array("features"))).alias("n_features")
+    return whole.agg(F.count("*").alias("labelled"), width).withColumn("n", F.lit(events.count()).cast("long"))
 
 
-_SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 4}, "xgboost": {"n_estimators": 5, "max_depth": 3}}
+@CHECKS.query("predict")
+def _(spark, sf):
+    data = _statuses(spark, sf)
+    predict = make_model("logistic_regression", "classification").fit(data.train, data.classes)
+    return predict(data.test).select("row_key", "label", "prediction", "scores")
 
 
 def _run_rows(runs):
@@ -304,7 +373,7 @@ def _(spark, sf):
     # The unknown model shows that a failing candidate is recorded and the others go on.
     models = ["logistic_regression", "random_forest", "no_such_model"]
     records = train_candidates(
-        data.train, data.test, models, "classification", ["f1", "roc_auc", "accuracy"], "row_key", params=_SMALL, classes=2
+        data.train, data.test, models, "classification", ["f1", "roc_auc", "accuracy"], "row_key", classes=2
     )
     data.release()
     return _run_rows(runs_frame(spark, records, "quality"))
@@ -314,8 +383,8 @@ def _(spark, sf):
 def _(spark, sf):
     data = _quality(spark, sf)
     rows = [
-        (i, float(p["C"]), cross_val_score(data.train, "logistic_regression", "classification", p, "f1", "row_key", 3))
-        for i, p in enumerate({**t, "max_iter": 20} for t in search_space("logistic_regression", 2))
+        (i, float(p["C"]), cross_val_score(data.train, "logistic_regression", "classification", p, "f1", "row_key"))
+        for i, p in enumerate(search_space("logistic_regression", 2))
     ]
     data.release()
     return spark.createDataFrame(rows, "trial int, C double, score double")
@@ -326,7 +395,7 @@ def _(spark, sf):
     data = _quality(spark, sf)
     record = tune(
         data.train, data.test, "logistic_regression", "classification", "f1", ["f1", "roc_auc", "accuracy"],
-        "row_key", n_trials=2, folds=3, limits={"max_iter": 20},
+        "row_key", n_trials=5, classes=data.classes,
     )
     data.release()
     return _run_rows(runs_frame(spark, [record], "quality"))
@@ -342,8 +411,6 @@ def _(spark, sf):
         {"quality": lambda session: labelled(session, sf)},
         key="doc_id",
         n_trials=2,
-        folds=3,
-        model_params={**_SMALL, "logistic_regression": {"max_iter": 20}},
     )
     if outcome.status != "completed":
         raise RuntimeError(outcome.report)

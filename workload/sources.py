@@ -8,14 +8,16 @@ from tabulark.session import scratch_path
 from tabulark.sources.datasets import load_csv, load_dataset, load_named, named_table
 from tabulark.sources.runlog import (
     RUNS,
+    TRACES,
     append_results,
     append_runs,
+    append_traces,
     log_metrics,
     log_params,
     read_table,
     upsert_experiment,
 )
-from workload.common import RUNS_SQL, Checks, runs, table
+from workload.common import EVENT_TRACES_SQL, RUNS_SQL, Checks, event_traces, rounded, runs, table
 
 CHECKS = Checks()
 
@@ -37,12 +39,12 @@ def _(spark, sf):
 
 @CHECKS.query(
     "load_named",
-    "SELECT d.doc_id, lang, source, n_chars, quality AS target FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT d.doc_id, text, lang, source, n_chars, toxic, quality AS target FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
 )
 def _(spark, sf):
     def quality(session):
-        features = named_table(f"{sf}/documents.parquet")(session).drop("text")
-        return features.join(named_table(f"{sf}/labels.parquet", target="quality")(session).drop("toxic"), "doc_id")
+        features = named_table(f"{sf}/documents.parquet")(session)
+        return features.join(named_table(f"{sf}/labels.parquet", target="quality")(session), "doc_id")
 
     return load_named(spark, "quality", {"quality": quality})
 
@@ -73,6 +75,21 @@ def _(spark, sf):
     )
 
 
+@CHECKS.query(
+    "append_traces",
+    f"""WITH {EVENT_TRACES_SQL}
+    SELECT experiment_id, coalesce(CASE WHEN seq % 5 <> 0 THEN agent_name END, 'unknown') AS agent_name, prompt_tokens, completion_tokens,
+      total_tokens, round(cost, 8) AS cost, round(coalesce(CASE WHEN seq % 7 <> 0 THEN latency END, 0), 6) AS latency FROM traces""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "traces")
+    gaps = event_traces(spark, sf).withColumns(
+        {"agent_name": F.when(F.col("seq") % 5 != 0, F.col("agent_name")), "latency": F.when(F.col("seq") % 7 != 0, F.col("latency"))}
+    )
+    append_traces(gaps, path)
+    return rounded(rounded(read_table(spark, path, TRACES).drop("created_at"), 8, "cost"), 6, "latency")
+
+
 @CHECKS.query(
     "upsert_experiment",
     """WITH existing AS (

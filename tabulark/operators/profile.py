@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +24,8 @@ from tabulark.functions.columns import (
 from tabulark.operators.quantiles import exact_quantiles
 from tabulark.operators.scalars import collect_scalars
 
-_PAIRS_PER_SCAN = 200
-_MATRIX_COLUMNS = 60
+#: Columns whose products with all others one pass adds up: a task holds 6 numbers for each pair.
+_ROWS_PER_SCAN = 500
 _QUARTILES = (0.25, 0.5, 0.75)
 
 _STATISTICS = T.StructType(
@@ -94,9 +96,6 @@ class _Scan:
         self.missing = {c: found["missing", c] for c in missing}
         self.moments = {c: {name: found[name, c] for name in moments} for c in numeric}
 
-    def complete(self, name: str) -> bool:
-        return self.moments[name]["n"] == self.rows
-
     def constant(self, name: str) -> bool:
         return not self.moments[name]["std"]
 
@@ -121,47 +120,56 @@ def _describe(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Absolute Pearson correlation of every numeric pair over the rows that have both values.
 
-    NULL where a column is constant. Two columns without missing values need one covariance;
-    wide tables of such columns go through one matrix pass. Other pairs are computed on
-    their common rows, a few hundred to a scan.
+    NULL where a column is constant on these rows. All pairs come from one pass, in which every task adds up
+    products of the columns and of their marks of presence; above `_ROWS_PER_SCAN` columns there is a pass for
+    each so many of them. The pairs stay rows of a table.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     return _correlate(df, columns, _Scan(df, columns))
 
 
 def _correlate(df: DataFrame, columns: Sequence[str], scan: _Scan) -> DataFrame:
-    pairs = list(combinations(columns, 2))
-    values: dict[tuple[str, str], float | None] = {
-        p: None for p in pairs if scan.constant(p[0]) or scan.constant(p[1])
-    }
-    complete = [c for c in columns if scan.complete(c) and not scan.constant(c)]
-    if len(complete) > _MATRIX_COLUMNS:
-        values.update(_matrix_pairs(df, complete))
-    aggregates = {}
-    for a, b in (p for p in pairs if p not in values):
-        if scan.complete(a) and scan.complete(b):
-            # Means are known, so one sum of centred products is all a pair costs.
-            x, y = (column(c).cast("double") - F.lit(scan.moments[c]["mean"]) for c in (a, b))
-            spread = (scan.rows - 1) * scan.moments[a]["std"] * scan.moments[b]["std"]
-            r = F.sum(x * y) / F.lit(spread)
-        else:
-            x, y = number(df, a), number(df, b)
-            both = x.isNotNull() & y.isNotNull()
-            r = ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
-        aggregates[a, b] = F.abs(r)
-    values.update(collect_scalars(df, aggregates, _PAIRS_PER_SCAN))
-    return df.sparkSession.createDataFrame([(a, b, values[a, b]) for a, b in pairs], _CORRELATIONS)
-
-
-def _matrix_pairs(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    doubles = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=doubles.columns, outputCol="v").transform(doubles).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    found = {}
-    for i, j in combinations(range(len(columns)), 2):
-        r = float(matrix[i, j])
-        found[columns[i], columns[j]] = None if r != r else min(abs(r), 1.0)
-    return found
+    columns = list(columns)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], _CORRELATIONS)
+    # Values less their mean keep their digits in the sums of squares.
+    centred = df.select(*[(number(df, c) - F.lit(scan.moments[c]["mean"])).alias(f"c{i}") for i, c in enumerate(columns)])
+    blocks = [range(start, min(start + _ROWS_PER_SCAN, len(columns))) for start in range(0, len(columns), _ROWS_PER_SCAN)]
+    pairs = reduce(DataFrame.unionByName, [_pair_sums(centred, block) for block in blocks])
+    spread_x, spread_y = F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.col("n") * F.col("yy") - F.col("y") * F.col("y")
+    # What rounding leaves of a constant is no spread.
+    both = (spread_x > F.col("n") * F.col("xx") * 1e-12) & (spread_y > F.col("n") * F.col("yy") * 1e-12)
+    r = ratio(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), F.sqrt(spread_x) * F.sqrt(spread_y))
+    varies = F.array(*[F.lit(not scan.constant(c)) for c in columns])
+    both = both & F.element_at(varies, F.col("i") + 1) & F.element_at(varies, F.col("j") + 1)
+    r = F.when(both, F.least(F.abs(r), F.lit(1.0)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return pairs.select(
+        F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), r.alias("correlation")
+    )
+
+
+def _pair_sums(centred: DataFrame, block: range) -> DataFrame:
+    """For i in `block` and j > i, over the rows that have both: n, and the sums x, xx, y, yy, xy."""
+    width, first, last = len(centred.columns), block[0], block[-1] + 1
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, last - first, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            own, mine = x[:, first:last], there[:, first:last]
+            for k, (a, b) in enumerate(((mine, there), (own, there), (own**2, there), (mine, x), (mine, x**2), (own, x))):
+                total[k] += a.T @ b
+        rows = total.transpose(1, 0, 2).reshape(last - first, 6 * width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last, dtype=np.int32)), pa.array(list(rows), pa.list_(pa.float64()))], ["i", "sums"])
+
+    parts = centred.mapInArrow(products, "i int, sums array<double>")
+    sums = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s"))
+    cut = lambda k: F.slice("s", k * width + 1, width)
+    zipped = F.arrays_zip(*[cut(k).alias(name) for k, name in enumerate(("n", "x", "xx", "y", "yy", "xy"))])
+    return sums.select("i", F.posexplode(zipped).alias("j", "p")).filter("j > i").select("i", "j", "p.*")
 
 
 def top_correlations(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.config import EXACT_PERCENTILE_ROWS, HOT_GROUP_ROWS
+from tabulark.config import EXACT_PERCENTILE_CELLS, HOT_GROUP_ROWS
 from tabulark.functions.columns import number
 from tabulark.operators.ordered import running_sums
 
@@ -21,13 +21,14 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    max_buffer_rows: int = EXACT_PERCENTILE_ROWS,
+    max_buffer_cells: int = EXACT_PERCENTILE_CELLS,
     hot_rows: int = HOT_GROUP_ROWS,
     rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, as fitted parameters on the driver.
 
-    Small tables use `percentile`; `rows` saves counting where the caller knows the number. Larger ones are read twice: a sketch brackets each
+    Up to `max_buffer_cells` cells (rows times columns of a scan) one buffer counts them all; `rows` saves counting where
+    the caller knows the number. Larger tables are read twice: a sketch brackets each
     quantile, then only the rows inside the brackets (about 1 in 500) are counted by
     value, which gives the exact order statistics. A bracket that turns out not to hold
     its quantile is widened to the whole column.
@@ -38,12 +39,12 @@ def exact_quantiles(
         rows, found = df.count() if rows is None else rows, {}
         for start in range(0, len(columns), _COLUMNS_PER_SCAN):
             part = columns[start : start + _COLUMNS_PER_SCAN]
-            found.update(exact_quantiles(df, part, probabilities, max_buffer_rows, hot_rows, rows))
+            found.update(exact_quantiles(df, part, probabilities, max_buffer_cells, hot_rows, rows))
         return found
     data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = data.columns
     probabilities = [float(p) for p in probabilities]
-    if (data.count() if rows is None else rows) <= max_buffer_rows:
+    if (data.count() if rows is None else rows) * len(columns) <= max_buffer_cells:
         row = data.agg(*[F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in names]).first()
         return {c: list(row[n]) if row[n] is not None else [None] * len(probabilities) for c, n in zip(columns, names)}
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the session's checkpoint folder.
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabulark-")
     context.setCheckpointDir(configured)
@@ -29,7 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written on the way."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables this driver has written on the way; call it when no frame that reads them is needed any more.
+
+    Returns how many there were. Checkpoints go by themselves with `spark.cleaner.referenceTracking.cleanCheckpoints`.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    removed = 0
+    while _scratch:
+        path = hadoop.Path(_scratch.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def test_quantiles_of_a_large_table(spark):
     values = np.concatenate([generator.normal(size=3000), np.full(2500, 0.5), [np.nan] * 5])
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "x double, y int")
     kept = values[~np.isnan(values)]
-    found = exact_quantiles(df, ["x", "y"], PROBABILITIES, max_buffer_rows=10, hot_rows=100)
+    found = exact_quantiles(df, ["x", "y"], PROBABILITIES, max_buffer_cells=10, hot_rows=100)
     assert np.allclose(found["x"], np.quantile(kept, PROBABILITIES), rtol=0, atol=1e-12)
     assert found == exact_quantiles(df, ["x", "y"], PROBABILITIES)
 
@@ -95,7 +95,7 @@ def test_quantiles_like_numpy(spark, values):
     known = [float(v) for v in values if v is not None]
     expected = list(np.quantile(known, PROBABILITIES)) if known else [None] * len(PROBABILITIES)
     for limit in (1_000_000, 0):
-        found = exact_quantiles(df, ["x"], PROBABILITIES, max_buffer_rows=limit)["x"]
+        found = exact_quantiles(df, ["x"], PROBABILITIES, max_buffer_cells=limit)["x"]
         if known:
             assert np.allclose(found, expected, rtol=1e-12, atol=1e-9)
         else:
@@ -105,7 +105,7 @@ def test_quantiles_like_numpy(spark, values):
 def test_quantiles_without_values(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
-    assert exact_quantiles(df, ["x"], [0.5], max_buffer_rows=0) == {"x": [None]}
+    assert exact_quantiles(df, ["x"], [0.5], max_buffer_cells=0) == {"x": [None]}
 
 
 def test_folds_by_hash_ranges_equal_folds_by_rank(skewed):

@@ -1,6 +1,7 @@
 """Run tables, texts, traces and the driver-side decisions."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from tabulark.plans.goals import (
     validate_goals,
 )
 from tabulark.plans.report import report_lines, report_table
-from tabulark.session import shared_dir
+from tabulark.session import clear_scratch, scratch_path, shared_dir
 from tabulark.sources.runlog import (
     RUNS,
     TRACES,
@@ -268,3 +269,10 @@ def test_decisions():
 
 def test_the_session_names_the_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_scratch_tables_are_removed_when_asked(spark):
+    path = scratch_path(spark, "few")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert clear_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:"))

@@ -15,6 +15,7 @@ from tabulark.operators.profile import (
     top_correlations,
     total_missing_pct,
 )
+from tabulark.operators.quantiles import exact_quantiles
 from workload.common import Checks, rounded, table
 
 CHECKS = Checks()
@@ -92,6 +93,34 @@ def _(spark, sf):
     return rounded(described, 4, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+@CHECKS.query(
+    "quantiles_bracketed",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", round(quantile_cont({c}::DOUBLE, 0.05), 6) AS p05, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50,
+        round(quantile_cont({c}::DOUBLE, 0.99), 6) AS p99 FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_partkey")
+    ),
+)
+def _(spark, sf):
+    """The way of large tables: a sketch, then exact counts inside its brackets."""
+    names = ["l_quantity", "l_extendedprice", "l_partkey"]
+    found = exact_quantiles(table(spark, sf, "lineitem"), names, [0.05, 0.5, 0.99], max_buffer_cells=0)
+    rows = spark.createDataFrame([(c, *found[c]) for c in names], "column string, p05 double, p50 double, p99 double")
+    return rounded(rows, 6, "p05", "p50", "p99")
+
+
+@CHECKS.query(
+    "top_correlations_gaps",
+    """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+    g AS (SELECT vec_id, i, x FROM x WHERE (vec_id * 7 + i * 3) % 11 <> 0)
+    SELECT 'e' || a.i AS col_a, 'e' || b.i AS col_b, round(abs(corr(a.x, b.x)), 8) AS correlation
+    FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i ORDER BY correlation DESC, col_a, col_b LIMIT 10""",
+)
+def _(spark, sf):
+    numbers = [F.expr(f"CASE WHEN (vec_id * 7 + {i} * 3) % 11 <> 0 THEN cast(embedding[{i}] as double) END").alias(f"e{i}") for i in range(64)]
+    return rounded(top_correlations(table(spark, sf, "embeddings").select(*numbers)), 8, "correlation")
+
+
 @CHECKS.query("top_correlations", correlation_sql("lineitem", LINEITEM_NUMBERS))
 def _(spark, sf):
     return rounded(top_correlations(table(spark, sf, "lineitem")), 8, "correlation")

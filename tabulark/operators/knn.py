@@ -20,12 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabulark.config import SEED
 from tabulark.functions.columns import column, hash_int
-from tabulark.operators.lookup import join_lookup
+from tabulark.operators.lookup import join_lookup, settle
 from tabulark.session import materialize
 
 _BLOCK_BYTES = 16 << 20
 _MATRIX_CELLS = 4 << 20
 _MAX_PIVOTS = 512
+_CELLS_SENT = 100_000  # cells of all classes, of three numbers each
 _SLACK = 1e-9  # widens pruning bounds against rounding
 
 
@@ -207,45 +208,73 @@ def _assign_cells(train: DataFrame, centres: np.ndarray, metric: str, p: float)
     )
 
 
+def _cells_to_visit(
+    distance: np.ndarray, cells: np.ndarray, n: np.ndarray, reach: np.ndarray, between: np.ndarray | None, needed: int
+) -> list[np.ndarray]:
+    """For each query (a row of distances to all pivots) the cells of its class that may hold one of its `needed` nearest rows."""
+    near, row = distance[:, cells], np.arange(len(distance))
+    far = near + reach
+    order = np.argsort(far, axis=1)
+    upto = np.cumsum(n[order], axis=1)
+    first = (upto >= needed).argmax(axis=1)
+    bound = np.where(upto[:, -1] >= needed, far[row, order[row, first]], np.inf)
+    least = near - reach
+    if between is not None:
+        own = distance.argmin(axis=1)
+        gap = between[own][:, cells]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(gap > 0, (near**2 - distance[row, own][:, None] ** 2) / (2 * gap), 0.0)
+        least = np.maximum(least, plane)
+    chosen = least <= (bound * (1 + _SLACK) + _SLACK)[:, None]
+    return [cells[mask].astype("int32") for mask in chosen]
+
+
 def _visited_cells(
     queries: DataFrame, train: DataFrame, centres: np.ndarray, metric: str, p: float, needed: int
 ) -> DataFrame:
-    """Queries with the cells that may hold one of their `needed` nearest rows."""
+    """Queries with the cells that may hold one of their `needed` nearest rows.
+
+    Sizes and reaches of the cells go to the tasks once, as one broadcast, if there are at most `_CELLS_SENT` of them;
+    with more classes than that they are joined to the queries.
+    """
     rows = train.groupBy("_w", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_reach").alias("r"))
+    rows, _ = settle(rows, _CELLS_SENT)
+    between = _distances(centres, centres, metric, p) if metric == "euclidean" else None
+
+    def distances(vectors: pd.Series) -> np.ndarray:
+        return _distances(np.stack(vectors.to_numpy()), centres, metric, p)
+
+    if rows.count() <= _CELLS_SENT:
+        table = {w: part for w, part in rows.toPandas().groupby("_w")}
+        known = {w: tuple(part[c].to_numpy() for c in ("_cell", "n", "r")) for w, part in table.items()}
+        sent = queries.sparkSession.sparkContext.broadcast(known)
+
+        @F.pandas_udf("array<int>")
+        def visit_sent(vectors: pd.Series, classes: pd.Series) -> pd.Series:
+            out = np.empty(len(vectors), object)
+            for w, at in classes.groupby(classes).indices.items():
+                for step in range(0, len(at), 2000):
+                    part = at[step : step + 2000]
+                    found = _cells_to_visit(distances(vectors.iloc[part]), *sent.value[w], between, needed) if w in sent.value else None
+                    for i, place in enumerate(part):
+                        out[place] = found[i] if found else None
+            return pd.Series(out)
+
+        return queries.withColumn("_visit", visit_sent("_v", "_w")).filter("_visit IS NOT NULL")
+
     # One array per class, at most one entry per pivot.
-    per_class = rows.groupBy("_w").agg(
-        F.map_from_entries(F.collect_list(F.struct("_cell", F.struct("n", "r")))).alias("_cells")
-    )
-    between = _distances(centres, centres, metric, p)
-    euclidean = metric == "euclidean"
+    per_class = rows.groupBy("_w").agg(F.sort_array(F.collect_list(F.struct("_cell", "n", "r"))).alias("_cells"))
 
     @F.pandas_udf("array<int>")
-    def visit(vectors: pd.Series, cells: pd.Series, counts: pd.Series, reaches: pd.Series) -> pd.Series:
-        all_distances = _distances(np.stack(vectors.to_numpy()), centres, metric, p)
-        out = []
-        for d, cell, n, r in zip(all_distances, cells, counts, reaches):
-            cell, n, r = np.asarray(cell, dtype=int), np.asarray(n), np.asarray(r)
-            far = d[cell] + r
-            sort = np.argsort(far)
-            enough = np.searchsorted(np.cumsum(n[sort]), needed)
-            bound = far[sort][enough] if enough < len(sort) else np.inf
-            least = d[cell] - r
-            if euclidean:
-                own = int(d.argmin())
-                gap = between[own, cell]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap > 0, (d[cell] ** 2 - d[own] ** 2) / (2 * gap), 0.0)
-                least = np.maximum(least, plane)
-            out.append(cell[least <= bound * (1 + _SLACK) + _SLACK].astype("int32"))
-        return pd.Series(out)
-
-    spread = join_lookup(queries, per_class, ["_w"], "inner").select(
-        *queries.columns,
-        F.map_keys("_cells").alias("_ids"),
-        F.transform(F.map_values("_cells"), lambda s: s["n"]).alias("_ns"),
-        F.transform(F.map_values("_cells"), lambda s: s["r"]).alias("_rs"),
-    )
-    return spread.select(*queries.columns, visit("_v", "_ids", "_ns", "_rs").alias("_visit"))
+    def visit_joined(vectors: pd.Series, cells: pd.Series, counts: pd.Series, reaches: pd.Series) -> pd.Series:
+        found = [
+            _cells_to_visit(d[None, :], np.asarray(c, int), np.asarray(n), np.asarray(r), between, needed)[0]
+            for d, c, n, r in zip(distances(vectors), cells, counts, reaches)
+        ]
+        return pd.Series(found)
+
+    spread = join_lookup(queries, per_class, ["_w"], "inner")
+    return spread.select(*queries.columns, visit_joined("_v", "_cells._cell", "_cells.n", "_cells.r").alias("_visit"))
 
 
 def knn_classify(

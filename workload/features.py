@@ -429,6 +429,36 @@ def _(spark, sf):
     return rounded(changed, 4, "centred")
 
 
+@CHECKS.query(
+    "kfold_ranges",
+    f"""SELECT c_custkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment
+      ORDER BY {hash_sql('c_custkey', 'fold')}, c_custkey) - 1) % 5)::INTEGER AS fold FROM customer""",
+)
+def _(spark, sf):
+    """The way of large classes: cut into hash ranges that are numbered by themselves."""
+    source = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return kfold(source, ["c_custkey"], 5, stratify="c_mktsegment", hot_rows=20)
+
+
+@CHECKS.query(
+    "pca_all_components",
+    """WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    v AS (SELECT i, var_samp(x) AS v FROM x GROUP BY i)
+    SELECT round(sum(v), 6) AS variance, 0.0::DOUBLE AS covariance, true AS falling FROM v""",
+)
+def _(spark, sf):
+    """All components together have the variance of the table, have none in common, and come in falling order."""
+    names = [f"e{i}" for i in range(64)]
+    wide = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    projected = fit_pca(wide, names, 64).apply(wide)
+    own = [F.var_samp(f"`{j}`") for j in range(64)]
+    shared = [F.abs(F.covar_samp("`0`", f"`{j}`")) for j in range(1, 64)]
+    row = projected.agg(F.array(*own).alias("own"), F.greatest(*shared).alias("shared"))
+    total = F.round(F.aggregate("own", F.lit(0.0), lambda a, v: a + v), 6)
+    falling = F.forall(F.sequence(F.lit(1), F.lit(63)), lambda j: F.get("own", j - 1) >= F.get("own", j) - 1e-9)
+    return row.select(total.alias("variance"), F.round("shared", 6).alias("covariance"), falling.alias("falling"))
+
+
 @CHECKS.query(
     "kfold_seven",
     f"""SELECT c_custkey, ((row_number() OVER (ORDER BY {hash_sql('c_custkey', 'fold')}, c_custkey) - 1) % 7)::INTEGER AS fold FROM customer""",

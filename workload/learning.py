@@ -32,6 +32,23 @@ def _(spark, sf):
     return rounded(found, 8, "distance")
 
 
+@CHECKS.query(
+    "knn_join_cells",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+    r AS (SELECT a.vec_id AS query_key, b.vec_id AS neighbour_key, list_distance(a.x, b.x) AS distance,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS rank
+      FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id)
+    SELECT query_key, neighbour_key, round(distance, 8) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 3""",
+)
+def _(spark, sf):
+    """The way of large tables: several pivots, cells cut into small blocks."""
+    vectors = table(spark, sf, "embeddings")
+    found = knn_join(
+        vectors, vectors, 3, "vec_id", "vec_id", "embedding", "embedding", within="label", exclude_self=True, block_rows=64, pivots=12
+    )
+    return rounded(found, 8, "distance")
+
+
 @CHECKS.query(
     "knn_join_manhattan",
     """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

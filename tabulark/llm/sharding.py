@@ -31,7 +31,7 @@ def _propagated(members: DataFrame, shards: int, quota: np.ndarray, rounds: int,
     """``key, link, shard`` after the rounds. A round is one join of the members with their links' votes."""
     start = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(shards)).cast("int")
     now = written(members.select("key", "link", start.alias("shard"), F.lit(None).cast("int").alias("target")), "labels")
-    share = np.zeros((shards, shards))
+    share, idle = np.zeros((shards, shards)), False
     for turn in range(rounds + 1):
         cell = F.element_at(F.array(*[F.lit(float(x)) for x in share.ravel()]), F.col("shard") * shards + F.col("target") + 1)
         chance = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
@@ -42,20 +42,25 @@ def _propagated(members: DataFrame, shards: int, quota: np.ndarray, rounds: int,
         held = np.zeros(shards)
         for r in now.groupBy("shard").count().collect():
             held[r["shard"]] = r["count"]
-        room = [s for s in range(shards) if held[s] < quota[s]] or range(shards)
+        # Every other turn a full shard can be wished for too, for the places of those that leave it.
+        open_to = [s for s in range(shards) if held[s] < quota[s] or turn % 2 == 0] or range(shards)
         votes = now.groupBy("link").agg(*[F.count_if(F.col("shard") == s).alias(f"v{s}") for s in range(shards)])
-        # Each link's best shard that has room (any, if none has); ties go to the lower number.
-        best = F.array_max(F.array(*[F.struct(F.col(f"v{s}").alias("n"), F.lit(-s).alias("s")) for s in room]))
+        # Each link's best shard among those; ties go to the lower number.
+        best = F.array_max(F.array(*[F.struct(F.col(f"v{s}").alias("n"), F.lit(-s).alias("s")) for s in open_to]))
         votes = votes.select("link", F.array(*[f"v{s}" for s in range(shards)]).alias("votes"), best.alias("best"))
+        # Written, so that the join below has an exchange of its own, which adaptive execution splits at a large link.
+        votes = written(votes, "votes")
         gain = F.struct("best.n", "best.s") > F.struct(F.element_at("votes", F.col("shard") + 1).alias("n"), (-F.col("shard")).alias("s"))
         step = now.join(votes, "link").select("key", "link", "shard", F.when(gain, -F.col("best.s")).alias("target"))
         now = written(step, "labels")
         wanted = np.zeros((shards, shards))
         for r in now.filter("target is not null").groupBy("shard", "target").count().collect():
             wanted[r["shard"], r["target"]] = r["count"]
-        if not wanted.any():
-            break
         share = _accepted(wanted, held, quota)
+        moved = (share * wanted).sum()
+        if moved < 1 and idle:
+            break
+        idle = moved < 1
     return now.select("key", "shard")
 
 
@@ -94,13 +99,13 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index + 1)
 
 
-def balanced_shards(nodes: DataFrame, shards: int = 16, *, rounds: int = 10, seed: int = 3) -> DataFrame:
+def balanced_shards(nodes: DataFrame, shards: int = 16, *, rounds: int = 12, seed: int = 3) -> DataFrame:
     """Every row with ``shard`` and ``slot``: row counts of shards differ by one at most, slots are gapless from 0.
 
     ``nodes`` has a unique ``key`` (long) and ``link`` (binary, null for a node without links); rows with the same
     link are linked with each other. Linked rows begin in a shard by the hash of their key. In each round they move
-    to the shard with room that holds most of their link, if it holds more than their own; where more want to come
-    than the quota allows, a share chosen by hash does. A link that is larger than a shard so fills one after the
+    to the shard that holds most of their link (every other round: of those with room), if it holds more than their own;
+    where more want to come than the quota and those who leave allow, a share chosen by hash does. A link that is larger than a shard so fills one after the
     other. Rows without partners fill what is left. Other columns are kept; ``shard`` and ``slot`` are replaced.
     An empty table gives an empty result.
     """
@@ -108,7 +113,8 @@ def balanced_shards(nodes: DataFrame, shards: int = 16, *, rounds: int = 10, see
     total = nodes.count()
     quota = np.array([total // shards + (s < total % shards) for s in range(shards)])
     shared = nodes.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    members = nodes.select("key", "link").join(shared, "link")
+    # Written for the same reason: the join has exchanges of its own, which can be split at a large link.
+    members = nodes.select("key", "link").join(written(shared, "shared"), "link")
     placed = written(_propagated(members, shards, quota, rounds, seed), "placed")
     linked = np.zeros(shards, np.int64)
     for r in placed.groupBy("shard").count().collect():

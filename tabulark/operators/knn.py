@@ -8,7 +8,6 @@ many tasks. A block returns the k best per query, never all pairs.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

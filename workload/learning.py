@@ -427,6 +427,7 @@ def _(spark, sf):
         "quality",
         {"quality": lambda session: labelled(session, sf)},
         key="doc_id",
+        plan={"models": ["logistic_regression", "svm"]},
         n_trials=2,
     )
     if outcome.status != "completed":

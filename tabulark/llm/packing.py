@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.encoding import encoder
+from tabulark.llm.encoding import encoder, token_ids
 from tabulark.llm.tables import written
 
 PIECES = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -53,7 +53,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, limit: int = 1024, end_id: int
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.encode_ordinary(text.as_py() or "")
+                ids = token_ids(coder, text.as_py() or "")
                 ids.append(end_id)
                 raw = memoryview(np.array(ids, "<u4").tobytes())
                 cuts = [0, *range(len(ids) % limit or limit, len(ids) + 1, limit)] if len(ids) > limit else [0, len(ids)]

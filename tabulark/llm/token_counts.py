@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabulark.llm.encoding import encoder
+from tabulark.llm.encoding import encoder, token_ids
 
 RULES = ("first", "most", "share")
 Sections = Callable[[str], list[tuple[str, int, int]]]
@@ -33,13 +33,15 @@ def _byte_lengths(path: str) -> np.ndarray:
     sizes = np.zeros(coder.n_vocab, np.int64)
     for token in coder.token_byte_values():
         sizes[coder.encode_single_token(token)] = len(token)
+    for token in coder.special_tokens_set:
+        sizes[coder.encode_single_token(token)] = len(token.encode())
     return sizes
 
 
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each token in code points; a token that holds a part of a code point spans all of it."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    sizes = _byte_lengths(path)[np.array(encoder(path).encode_ordinary(text), np.int64)]
+    sizes = _byte_lengths(path)[np.array(token_ids(encoder(path), text), np.int64)]
     ends = np.cumsum(sizes)
     number = np.cumsum((raw & 0xC0) != 0x80) - 1
     return number[ends - sizes], number[ends - 1] + 1

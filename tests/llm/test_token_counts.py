@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tabulark.llm import token_counts, workload
-from tabulark.llm.encoding import encoder
+from tabulark.llm.encoding import encoder, token_ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", "one", "Title here\n\nbody of  text, 12.5 kg\nlast", "é🎉日本語\n🎉🎉\n x", " \n \n", "a\nb\nc " * 2000]
@@ -21,6 +21,13 @@ def test_ids_are_those_of_the_library(library):
         assert encoder(PATH).encode_ordinary(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library(library):
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n é<|endoftext", *TEXTS]:
+        assert token_ids(encoder(PATH), text) == library.encode(text, add_special_tokens=False).ids
+        start, end = token_counts.token_spans(text, PATH)
+        assert len(start) == len(token_ids(encoder(PATH), text)) and (not text or end[-1] == len(text))
+
+
 def test_spans_are_those_of_the_library(library):
     for text in TEXTS:
         start, end = token_counts.token_spans(text, PATH)

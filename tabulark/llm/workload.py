@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity
+from tabulark.llm import decontaminate, imatch, langid, linededup, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -168,3 +168,23 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return token_counts.attributed(docs, "doc_id", "text", public_tokenizers.path(TOKENIZER))
+
+
+_LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+d AS (SELECT k, max(doc_id) AS keeper FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, d.k IS NOT NULL AND doc_id < keeper AS gone FROM k LEFT JOIN d ON k.k = d.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op13_line_dedup", _LINES)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    kept = linededup.kept_text(docs, "doc_id", "text", linededup.line_bitmaps(docs, "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

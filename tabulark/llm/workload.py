@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, linededup, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity
+from tabulark.llm import decontaminate, imatch, langid, linededup, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity, whitening
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -188,3 +188,8 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     kept = linededup.kept_text(docs, "doc_id", "text", linededup.line_bitmaps(docs, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import decontaminate, imatch, langid, linededup, neardup, packing, pages, secret_scan, sharding, token_counts, toxicity, whitening
+from tabulark.llm import decontaminate, imatch, langid, linededup, neardup, packing, pages, repair, secret_scan, sharding, token_counts, toxicity, whitening
 from tabulark.llm.tables import held_out, written
 
 #: The tokenizer file, by its name among the public tokenizers.
@@ -193,3 +193,78 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_whitening")
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+_REPAIR = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS no,
+    list_reduce(list_concat([4294967295], list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) AS c
+  FROM conversations),
+k AS (SELECT *, xor(c, 4294967295) % 20 AS kind FROM o),
+r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, no, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM k WHERE kind <> 0),
+n AS (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, lag(role[1]) OVER w AS previous,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, no, again) > 1 AS again_seen,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, no, again)),
+f AS (
+  SELECT *, final = '' AS blank, final <> '' AND again_seen AS duplicate, final <> '' AND NOT again_seen AND final NOT IN ('.', '!', '?') AS truncated,
+    previous IS NOT NULL AND previous || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM n),
+best AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS b FROM f
+  UNION ALL
+  SELECT conv_id, i, to_s, min(b) FROM (
+    SELECT x.conv_id, x.i + 1 AS i,
+      CASE e WHEN 'D' THEN x.s WHEN 'R' THEN CASE x.s WHEN 2 THEN 3 ELSE 2 END ELSE CASE f.role[1] WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS to_s,
+      {'cost': x.b.cost + CASE e WHEN 'D' THEN 2 ELSE (e = 'R')::INT + 5 * f.truncated::INT END, 'audit': x.b.audit || e,
+       'lines': CASE e WHEN 'D' THEN x.b.lines WHEN 'K' THEN list_append(x.b.lines, f.role || ':' || f.text)
+         ELSE list_append(x.b.lines, CASE x.s WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text) END} AS b
+    FROM (
+      SELECT conv_id, i, CASE WHEN q = 0 THEN s WHEN (s = 2) = (q = 2) THEN 2 ELSE 3 END AS s,
+        {'cost': b.cost + 5 * q, 'audit': b.audit || repeat('I', q::INT),
+         'lines': list_concat(b.lines, (CASE s WHEN 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END)[1:q])} AS b
+      FROM best, (SELECT unnest(range(3)) AS q)) x
+    JOIN f ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i, (SELECT unnest(['D', 'K', 'R']) AS e)
+    WHERE e = 'D' OR NOT f.blank AND NOT f.duplicate AND (e = 'R' OR f.role[1] = 's' AND x.s = 0 OR f.role[1] = 'u' AND x.s IN (0, 1, 3) OR f.role[1] = 'a' AND x.s = 2))
+  GROUP BY conv_id, i, to_s),
+done AS (
+  SELECT best.conv_id, min({'cost': b.cost + CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'audit': b.audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'lines': list_concat(b.lines, CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END)}) AS b
+  FROM best JOIN (SELECT conv_id, max(n) AS n FROM f GROUP BY conv_id) z ON best.conv_id IS NOT DISTINCT FROM z.conv_id AND best.i = z.n GROUP BY best.conv_id),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(done.b.cost, 0)::BIGINT AS cost, coalesce(done.b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(done.b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults ON c.conv_id IS NOT DISTINCT FROM faults.conv_id
+LEFT JOIN done ON c.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations damaged by the checksum of their id and turn; a dropped row only names its conversation (``present`` is false)."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    changed = rows.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind != 0).alias("present"),
+        F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+@query("op11_conversation_repair", _REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    pieces = repair.repaired_pieces(rows, "conv_id", "turn", "role", "text", "present")
+    return repair.summaries(pieces).withColumnRenamed("conv", "conv_id")

@@ -37,6 +37,27 @@ def _(spark, sf):
     return load_csv(spark, path)
 
 
+@CHECKS.query(
+    "load_csv_quoted",
+    """SELECT doc_id::INTEGER AS doc_id, CASE WHEN text NOT IN ('', 'NA', 'N/A', 'NULL', 'null', 'nan', 'NaN', 'None', 'n/a') THEN text END AS text,
+      CASE WHEN lang <> 'en' THEN lang END AS lang, source || ', "' || lang || '"' AS origin, n_chars::INTEGER AS n_chars, n_chars / 4 AS quarter,
+      n_chars % 2 = 0 AS even
+    FROM documents""",
+)
+def _(spark, sf):
+    """Whole texts with quotes, commas and line feeds, through a quoted file and back."""
+    path = scratch_path(spark, "documents.csv")
+    documents = table(spark, sf, "documents").select(
+        "doc_id", "text",
+        F.when(F.col("lang") == "en", F.lit("N/A")).otherwise(F.col("lang")).alias("lang"),
+        F.concat("source", F.lit(', "'), "lang", F.lit('"')).alias("origin"),
+        "n_chars", (F.col("n_chars") / 4).alias("quarter"), (F.col("n_chars") % 2 == 0).alias("even"),
+    )
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    documents.write.options(**plain).csv(path)
+    return load_csv(spark, path)
+
+
 @CHECKS.query(
     "load_named",
     "SELECT d.doc_id, text, lang, source, n_chars, toxic, quality AS target FROM documents d JOIN labels l ON d.doc_id = l.doc_id",

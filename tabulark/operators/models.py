@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.config import SEED
+from tabulark.operators.ann import approximate_knn_join
 from tabulark.operators.knn import knn_classify, knn_join, knn_regress
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -264,9 +265,12 @@ def _fit_knn(model: Candidate, train: DataFrame, classes: int | None, key: str |
         return df.withColumn("_x", vector_to_array("features"))
 
     def predict(df: DataFrame) -> DataFrame:
-        found = knn_join(
-            vectors(df), vectors(train), k, key, key, "_x", "_x", metric=p["metric"], carry="label"
-        )
+        if p.get("search", "exact") == "approximate":
+            if p["metric"] not in ("minkowski", "euclidean"):
+                raise ValueError("approximate search knows Euclidean distances only")
+            found = approximate_knn_join(vectors(df), vectors(train), k, key, key, "_x", "_x", p.get("share", 0.1), carry="label")
+        else:
+            found = knn_join(vectors(df), vectors(train), k, key, key, "_x", "_x", metric=p["metric"], carry="label")
         if model.problem_type == "classification":
             voted = knn_classify(found, "label", classes, weights)
         else:

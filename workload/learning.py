@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabulark.operators.ann import approximate_knn_join, recall
 from tabulark.operators.knn import knn_classify, knn_join, knn_regress
 from tabulark.operators.metrics import classification_metrics, regression_metrics, roc_auc, roc_auc_ovr, score_predictions
 from tabulark.operators.models import make_model
@@ -32,6 +33,17 @@ def _(spark, sf):
     return rounded(found, 8, "distance")
 
 
+@CHECKS.query("knn_join_approximate", "SELECT count(*) AS queries, true AS recall_from_90, true AS measured_below_10 FROM embeddings")
+def _(spark, sf):
+    """Recall at 5 against the exact join, all rows against all rows; these vectors have no clusters, so most cells are read by code."""
+    vectors = table(spark, sf, "embeddings")
+    n = vectors.count()
+    named = ["vec_id", "vec_id", "embedding", "embedding"]
+    exact = knn_join(vectors, vectors, 5, *named, exclude_self=True)
+    found = approximate_knn_join(vectors, vectors, 5, *named, share=0.8, candidates=min(40, n // 11), exclude_self=True)
+    return spark.createDataFrame([(n, recall(found, exact) >= 0.9, 40 < 0.1 * n)], "queries long, recall_from_90 boolean, measured_below_10 boolean")
+
+
 @CHECKS.query(
     "knn_join_cells",
     """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),

@@ -369,6 +369,61 @@ def select_k_best(
     return [r["feature"] for r in sorted(best, key=lambda r: r["position"])]
 
 
+def slot_scores(df: DataFrame, columns: Sequence[str], label: str, classification: bool = True) -> DataFrame:
+    """The score of every one-hot slot of text columns as (k, value, score), k the place of the column, from counts alone.
+
+    A slot is 0 or 1, so counts and label sums of the rows that have its value give all sums and squares; the zeros enter in
+    closed form. There is one row for each slot, and none of them reaches the driver: the number of values has no bound.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("k"), column(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    if classification:
+        counts = df.select(column(label).alias("y"), F.inline(cells)).filter("value IS NOT NULL").groupBy("k", "value", "y").agg(F.count(F.lit(1)).alias("m"))
+        sizes = df.groupBy(column(label).alias("y")).agg(F.count(F.lit(1)).alias("size"))
+        total = sizes.agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("classes")).first()
+        n, classes = total["n"] or 0, total["classes"]
+        placed = join_lookup(counts, sizes, ["y"])
+        rows = placed.groupBy("k", "value").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m") / F.col("size")).alias("b"))
+        between, within = F.col("b") - F.col("m") * F.col("m") / F.lit(n), F.col("m") - F.col("b")
+        score = _f_value(ratio(between, F.lit(classes - 1)), ratio(within, F.lit(n - classes)))
+    else:
+        y = number(df, label)
+        total = df.agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.stddev_pop(y).alias("sy")).first()
+        n, mean, spread = total["n"], total["my"] or 0.0, total["sy"] or 0.0
+        off = F.coalesce(y - F.lit(mean), F.lit(0.0)).alias("off")
+        rows = df.select(off, F.inline(cells)).filter("value IS NOT NULL").groupBy("k", "value").agg(F.count(F.lit(1)).alias("m"), F.sum("off").alias("off"))
+        p = F.col("m") / F.lit(max(n, 1))
+        r2 = F.least(F.pow(F.col("off") / F.lit(max(n, 1)), 2) / (p * (1 - p) * F.lit(spread * spread)), F.lit(1.0))
+        score = F.when((p < 1) & F.lit(spread > 0 and n > 2), F.when(r2 >= 1, F.lit(float("inf"))).otherwise(r2 / (1 - r2) * F.lit(n - 2)))
+    firsts = rows.groupBy("k").agg(F.min("value").alias("first"))
+    return join_lookup(rows, firsts, ["k"]).filter("value <> first").select("k", "value", score.alias("score"))
+
+
+def select_with_slots(
+    df: DataFrame, numbers: Sequence[str], texts: Sequence[str], label: str, k: int | None = None, classification: bool = True
+) -> list[tuple[str, str | None]]:
+    """As ``select_k_best`` over numbers and the one-hot slots of text columns: (column, value) in order, no value for numbers.
+
+    Only the chosen slots reach the driver.
+    """
+    k = k or 20
+    scored = (f_classif if classification else f_regression)(df, list(numbers), label).collect() if numbers else []
+    best = [(r["score"] is not None, r["score"] or 0.0, (-1, r["position"], "")) for r in scored]
+    order = [F.desc_nulls_last("score"), F.desc("k"), F.desc("value")]
+    for r in slot_scores(df, texts, label, classification).orderBy(*order).limit(k).collect():
+        best.append((r["score"] is not None, r["score"] or 0.0, (r["k"], 0, r["value"])))
+    chosen = sorted((at for *_, at in sorted(best, reverse=True)[:k]))
+    return [(numbers[place], None) if i < 0 else (texts[i], value) for i, place, value in chosen]
+
+
+def take_slots(df: DataFrame, chosen: Sequence[tuple[str, str | None]], keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The kept columns and the chosen numbers and 0/1 slots, and the names of the latter."""
+    names = [c if value is None else f"{c}_{_shown(df, c, value)}" for c, value in chosen]
+    flags = [
+        column(c) if value is None else F.coalesce(column(c).cast("string") == F.lit(value), F.lit(False)).cast("double") for c, value in chosen
+    ]
+    return df.select(*[column(c) for c in keep], *[f.alias(n) for f, n in zip(flags, names)]), names
+
+
 def take_features(df: DataFrame, features: Sequence[str], chosen: Sequence[str], slots: dict[str, list[str]] | None, keep: Sequence[str]) -> DataFrame:
     """The kept columns and the chosen features, slots of vectors as columns of their own."""
     wanted, columns = set(chosen), [column(c) for c in keep]
@@ -484,9 +539,12 @@ class Prepared:
 
 
 def fit_steps(
-    df: DataFrame, steps: Sequence[dict], numeric: Sequence[str], categorical: Sequence[str]
+    df: DataFrame, steps: Sequence[dict], numeric: Sequence[str], categorical: Sequence[str], late_slots: bool = False
 ) -> tuple[DataFrame, list[Fitted], list[str]]:
-    """Fit the steps of a plan in order. Unknown steps are left out, with a note."""
+    """Fit the steps of a plan in order. Unknown steps are left out, with a note.
+
+    With `late_slots` one-hot columns stay texts, named under `late` in the parameters, as a selection of slots follows.
+    """
     fitted, notes = [], []
     numeric, categorical = list(numeric), list(categorical)
     for step in steps:
@@ -502,7 +560,7 @@ def fit_steps(
                 notes.append(f"scaling '{method}' taken as standard")
             one = fit_scale(df, numeric, method)
         elif kind == "encoding" and method == "onehot":
-            one = fit_encode_onehot(df, categorical, expand=False)
+            one = Fitted(lambda d: d, {"late": categorical}) if late_slots else fit_encode_onehot(df, categorical, expand=False)
             categorical = []
         elif kind == "encoding":
             if method != "label":
@@ -546,19 +604,26 @@ def preprocess(
         notes.append(f"columns left out as neither numeric nor categorical: {', '.join(dropped)}")
     frames = [f.select(*[column(c) for c in [*aside, *numeric, *categorical]]) for f in frames]
 
-    fitted_frame, fitted, step_notes = fit_steps(frames[0], plan.get("preprocessing_steps", []), numeric, categorical)
+    selection = plan.get("feature_selection") or {}
+    method, wanted = selection.get("method") or "select_k_best", selection.get("n_features")
+    by_score = bool(selection.get("apply")) and method in ("select_k_best", "SelectKBest")
+    fitted_frame, fitted, step_notes = fit_steps(frames[0], plan.get("preprocessing_steps", []), numeric, categorical, by_score)
     notes += step_notes
+    late = [c for one in fitted for c in one.params.get("late", [])]
     slots = {c: names for one in fitted for c, names in one.params.get("slots", {}).items() if names}
     frames = [fitted_frame] + [_apply_all(f, fitted) for f in frames[1:]]
-    frames = [fill_remaining(f, [c for c in f.columns if c not in aside]) for f in frames]
+    frames = [fill_remaining(f, [c for c in f.columns if c not in aside and c not in late]) for f in frames]
     features = [c for c in frames[0].columns if c not in aside]
-    text = [c for c in features if isinstance(frames[0].schema[c].dataType, T.StringType)]
+    text = [c for c in features if c not in late and isinstance(frames[0].schema[c].dataType, T.StringType)]
     if text:
         raise ValueError(f"text columns need an encoding step before training: {', '.join(text)}")
 
-    selection = plan.get("feature_selection") or {}
-    method, wanted = selection.get("method") or "select_k_best", selection.get("n_features")
-    if selection.get("apply") and method in ("select_k_best", "SelectKBest"):
+    if late:
+        numbers = [c for c in features if c not in late]
+        picked = select_with_slots(frames[0], numbers, late, label, wanted, classification)
+        taken = [take_slots(f, picked, aside) for f in frames]
+        frames, features = [f for f, _ in taken], taken[0][1]
+    elif by_score:
         chosen = select_k_best(frames[0], features, label, wanted, classification, slots)
         frames = [take_features(f, features, chosen, slots, aside) for f in frames]
         features, slots = chosen, {}

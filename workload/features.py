@@ -21,6 +21,7 @@ from tabulark.operators.preprocess import (
     interaction_feature,
     preprocess,
     select_k_best,
+    slot_scores,
     take_features,
 )
 from tabulark.operators.sampling import oversample_random, oversample_smote
@@ -364,6 +365,44 @@ def _(spark, sf):
     return vectors.select("c_custkey", F.when(slot >= 0, slot).cast("long").alias("slot"))
 
 
+_SLOTS = """
+WITH p AS (SELECT p_size % 3 AS y, p_retailprice AS price, p_name, p_brand FROM part),
+v AS (SELECT 0 AS k, p_name AS value, y, price FROM p UNION ALL SELECT 1, p_brand, y, price FROM p),
+s AS (SELECT DISTINCT k, value FROM v), first AS (SELECT k, min(value) AS value FROM s GROUP BY k),
+n AS (SELECT y, count(*)::DOUBLE AS n_c FROM p GROUP BY y), t AS (SELECT sum(n_c) AS n, count(*) AS c FROM n),
+m AS (SELECT s.k, s.value, n.y, n_c, count(v.y) / n_c AS share FROM s CROSS JOIN n LEFT JOIN v ON v.k = s.k AND v.value = s.value AND v.y = n.y GROUP BY s.k, s.value, n.y, n_c),
+f AS (
+  SELECT k, value, sum(n_c * (share - p) * (share - p)) / (any_value(c) - 1) / nullif(sum(n_c * share * (1 - share)) / (any_value(n) - any_value(c)), 0) AS score
+  FROM (SELECT m.*, n, c, sum(n_c * share) OVER (PARTITION BY k, value) / n AS p FROM m, t) GROUP BY k, value)
+"""
+
+
+@CHECKS.query(
+    "onehot_slot_scores",
+    _SLOTS
+    + """SELECT CASE f.k WHEN 0 THEN 'p_name' ELSE 'p_brand' END AS feature, f.value, round(score, 6) AS score
+    FROM f JOIN first ON f.k = first.k AND f.value <> first.value""",
+)
+def _(spark, sf):
+    """Scores of all slots of two text columns, one of them with a value for nearly every row, without a name on the driver."""
+    source = table(spark, sf, "part").withColumn("y", F.col("p_size") % 3)
+    scores = slot_scores(source, ["p_name", "p_brand"], "y")
+    feature = F.when(F.col("k") == 0, "p_name").otherwise("p_brand")
+    return rounded(scores.select(feature.alias("feature"), "value", "score"), 6, "score")
+
+
+@CHECKS.query(
+    "onehot_slot_scores_regression",
+    """WITH v AS (SELECT p_name AS value, p_retailprice AS y FROM part), a AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, stddev_pop(y) AS sy FROM v),
+    s AS (SELECT value, count(*) / any_value(n) AS p, (avg(y) - any_value(my)) AS off, any_value(n) AS n, any_value(sy) AS sy FROM v, a GROUP BY value),
+    r AS (SELECT value, n, p * p * off * off / (p * (1 - p) * sy * sy) AS r2 FROM s)
+    SELECT value, round(r2 / (1 - r2) * (n - 2), 6) AS score FROM r WHERE value <> (SELECT min(value) FROM v)""",
+)
+def _(spark, sf):
+    scores = slot_scores(table(spark, sf, "part"), ["p_name"], "p_retailprice", classification=False)
+    return rounded(scores.select("value", "score"), 6, "score")
+
+
 @CHECKS.query(
     "select_k_best_wide",
     """WITH c AS (SELECT c_name, c_mktsegment, count(*) OVER (PARTITION BY c_mktsegment) AS m, count(*) OVER () AS n,

@@ -6,7 +6,6 @@ function that adds `prediction` and, for classes, `scores` (one number per class
 
 from __future__ import annotations
 
-import importlib.util
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.config import SEED
+from tabulark.operators import boosting
 from tabulark.operators.ann import approximate_knn_join
 from tabulark.operators.knn import knn_classify, knn_join, knn_regress
 
@@ -46,12 +46,17 @@ _BOOSTED = {**_FOREST, "subsample": 1.0}
 _DEFAULTS = {
     "logistic_regression": {"classification": {"C": 1.0, "max_iter": 1000}, "regression": {"alpha": 1.0, "max_iter": 1000}},
     "random_forest": {"classification": {**_FOREST, "max_features": "sqrt"}, "regression": {**_FOREST, "max_features": "all"}},
-    "gradient_boosting": {**_BOOSTED, "max_depth": 3, "learning_rate": 0.1},
-    "xgboost": {**_BOOSTED, "max_depth": 6, "learning_rate": 0.3, "colsample_bytree": 1.0},
+    "gradient_boosting": {
+        "classification": {**_BOOSTED, "max_depth": 3, "learning_rate": 0.1, "multi_class": "one_vs_rest"},
+        "regression": {**_BOOSTED, "max_depth": 3, "learning_rate": 0.1},
+    },
+    "xgboost": {
+        "n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0, "colsample_bytree": 1.0,
+        "reg_alpha": 0.0, "reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0, "max_bin": boosting.MAX_BINS, "random_state": SEED,
+    },
     "svm": {"C": 1.0, "kernel": "rbf", "gamma": "scale", "max_iter": 100, "random_features": 100},
     "knn": {"n_neighbors": 5, "weights": "uniform", "metric": "minkowski"},
 }
-_XGBOOST_ONLY = ("reg_alpha", "reg_lambda")
 
 
 @dataclass(frozen=True)
@@ -62,19 +67,13 @@ class Candidate:
 
     @property
     def settings(self) -> dict:
-        """All parameters that the fit uses, defaults included; unlimited depth is the depth that stands for it.
-
-        Parameters that the fit at hand does not know are named under `ignored`.
-        """
+        """All parameters that the fit uses, defaults included; unlimited depth is the depth that stands for it."""
         defaults = _DEFAULTS[self.name]
         found = {**defaults.get(self.problem_type, defaults), **self.params}
         if found.get("max_depth", 0) is None:
             found["max_depth"] = _DEPTH
         if found.get("max_depth", 0) > _MAX_DEPTH:
             raise ValueError(f"max_depth is at most {_MAX_DEPTH}")
-        ignored = [n for n in _XGBOOST_ONLY if n in found] if self.name == "xgboost" and not _has_xgboost() else []
-        if ignored:
-            found = {n: v for n, v in found.items() if n not in ignored} | {"ignored": ",".join(ignored)}
         return found
 
     def fit(self, train: DataFrame, classes: int | None = None, key: str | None = None) -> Predict:
@@ -86,10 +85,6 @@ class Candidate:
         return _FITS[self.name](self, train, classes, key)
 
 
-def _has_xgboost() -> bool:
-    return importlib.util.find_spec("xgboost") is not None
-
-
 def available_models(problem_type: str = "classification") -> list[str]:
     return list(MODELS)
 
@@ -154,44 +149,46 @@ def _fit_forest(model: Candidate, train: DataFrame, classes: int | None, key: st
 
 
 def boosting_params(params: dict) -> dict:
-    settings = {
+    return {
         **tree_params(params),
         "maxIter": int(params["n_estimators"]),
         "stepSize": float(params["learning_rate"]),
         "subsamplingRate": float(params["subsample"]),
     }
-    if params.get("colsample_bytree", 1.0) < 1.0:
-        settings["featureSubsetStrategy"] = str(params["colsample_bytree"])
-    return settings
 
 
-def _fit_boosted(settings: dict, model: Candidate, train: DataFrame, classes: int | None) -> Predict:
+def _fit_boosting(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
+    """Spark's boosting; with `multi_class="softmax"` more classes get a tree each per round, on the multinomial loss."""
+    p = model.settings
     if model.problem_type != "classification":
-        return GBTRegressor(**settings).fit(train).transform
+        return GBTRegressor(**boosting_params(p)).fit(train).transform
     if classes == 2:
-        fitted = GBTClassifier(**settings).fit(train)
+        fitted = GBTClassifier(**boosting_params(p)).fit(train)
         return lambda df: _scored("probability")(fitted.transform(df))
-    fitted = OneVsRest(classifier=GBTClassifier(**settings)).fit(train)
-    return lambda df: _scored("rawPrediction")(fitted.transform(df))
-
-
-def _fit_boosting(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    return _fit_boosted(boosting_params(model.settings), model, train, classes)
+    if p["multi_class"] not in ("one_vs_rest", "softmax"):
+        raise ValueError("multi_class is one_vs_rest or softmax")
+    if p["multi_class"] == "one_vs_rest":
+        fitted = OneVsRest(classifier=GBTClassifier(**boosting_params(p))).fit(train)
+        return lambda df: _scored("rawPrediction")(fitted.transform(df))
+    rule = boosting.Rule(
+        "softmax", int(p["n_estimators"]), float(p["learning_rate"]), int(p["max_depth"]), reg_lambda=0.0,
+        min_leaf=int(p["min_samples_leaf"]), min_split=int(p["min_samples_split"]),
+        subsample=float(p["subsample"]), seed=int(p["random_state"]), by_count=True, prior=True,
+    )
+    return boosting.fit(train, rule, classes, key).transform
 
 
 def _fit_xgboost(model: Candidate, train: DataFrame, classes: int | None, key: str | None) -> Predict:
-    """The distributed learner of the package where it is installed, else Spark's boosting."""
+    """Second-order boosting: penalties in splits and leaves, features drawn per tree; numbers start at their mean, classes at 0."""
     p = model.settings
-    if not _has_xgboost():
-        return _fit_boosted(boosting_params(p), model, train, classes)
-    from xgboost.spark import SparkXGBClassifier, SparkXGBRegressor
-
-    known = ("n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "reg_alpha", "reg_lambda")
-    settings = {k: p[k] for k in known if k in p}
-    if model.problem_type != "classification":
-        return SparkXGBRegressor(features_col="features", label_col="label", eval_metric="rmse", **settings).fit(train).transform
-    fitted = SparkXGBClassifier(features_col="features", label_col="label", eval_metric="logloss", **settings).fit(train)
-    return lambda df: _scored("probability")(fitted.transform(df))
+    loss = "squared" if model.problem_type != "classification" else "logistic" if classes == 2 else "softmax"
+    rule = boosting.Rule(
+        loss, int(p["n_estimators"]), float(p["learning_rate"]), int(p["max_depth"]),
+        reg_lambda=float(p["reg_lambda"]), reg_alpha=float(p["reg_alpha"]), gamma=float(p["gamma"]),
+        min_child_weight=float(p["min_child_weight"]), subsample=float(p["subsample"]), colsample=float(p["colsample_bytree"]),
+        bins=min(int(p["max_bin"]), boosting.MAX_BINS), seed=int(p["random_state"]),
+    )
+    return boosting.fit(train, rule, classes or 2, key).transform
 
 
 def kernel_features(train: DataFrame, kernel: str, gamma: str | float, size: int = 100) -> Predict:

@@ -328,7 +328,7 @@ def test_failed_experiment_is_recorded(spark, tmp_path):
 
 def test_settings_name_every_parameter():
     model = make_model("xgboost", "classification", {"reg_alpha": 1.0, "max_depth": None})
-    assert model.settings["ignored"] == "reg_alpha" and model.settings["max_depth"] == 10 and model.settings["n_estimators"] == 100
+    assert model.settings["reg_alpha"] == 1.0 and model.settings["reg_lambda"] == 1.0 and model.settings["max_depth"] == 10 and model.settings["n_estimators"] == 100
     with pytest.raises(ValueError, match="max_depth"):
         make_model("random_forest", "classification", {"max_depth": 31}).settings
     assert make_model("logistic_regression", "regression").settings == {"alpha": 1.0, "max_iter": 1000}

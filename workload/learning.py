@@ -292,6 +292,11 @@ def _(spark, sf):
     return _scores(spark, _statuses(spark, sf), "gradient_boosting", "classification", _CLASS_METRICS, {})
 
 
+@CHECKS.query("train_gradient_boosting_softmax")
+def _(spark, sf):
+    return _scores(spark, _statuses(spark, sf), "gradient_boosting", "classification", _CLASS_METRICS, {"multi_class": "softmax"})
+
+
 @CHECKS.query("train_xgboost")
 def _(spark, sf):
     params = {"subsample": 0.8, "colsample_bytree": 0.8}
@@ -352,6 +357,64 @@ def _(spark, sf):
     return _by_value(make_model("gradient_boosting", "regression", params).fit(df)(df), "prediction", 2)
 
 
+_PENALTY = """CASE WHEN s > 2000.0 THEN s - 2000.0 WHEN s < -2000.0 THEN s + 2000.0 ELSE 0 END"""
+
+
+@CHECKS.query(
+    "train_xgboost_one_round",
+    f"""WITH g AS (SELECT l_quantity AS x, sum(l_extendedprice - m) AS s, count(*) AS n
+      FROM lineitem, (SELECT avg(l_extendedprice) AS m FROM lineitem) GROUP BY l_quantity),
+    c AS (SELECT x, sum(s) OVER (ORDER BY x) AS ls, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER () AS ts, sum(n) OVER () AS tn FROM g),
+    sides AS (SELECT x, ln, tn - ln AS rn, unnest([ls, ts - ls]) AS s, unnest([ln, tn - ln]) AS n, unnest(['left', 'right']) AS side FROM c WHERE ln < tn),
+    soft AS (SELECT x, side, n, {_PENALTY} AS t FROM sides),
+    best AS (SELECT x AS cut FROM soft GROUP BY x ORDER BY sum(t * t / (n + 50.0)) DESC, x LIMIT 1)
+    SELECT cut::DOUBLE AS cut, side, n::BIGINT AS n,
+      round((SELECT avg(l_extendedprice) FROM lineitem) + 0.3 * t / (n + 50.0), 4) AS prediction FROM soft, best WHERE x = cut""",
+)
+def _(spark, sf):
+    """One round of one split: the cut that gains most under both penalties, and the leaves they shrink."""
+    source = table(spark, sf, "lineitem").select("l_quantity", F.col("l_extendedprice").alias("label"))
+    ready = assemble(source, ["l_quantity"])
+    params = {"n_estimators": 1, "max_depth": 1, "reg_lambda": 50.0, "reg_alpha": 2000.0}
+    predict = make_model("xgboost", "regression", params).fit(ready)
+    leaves = predict(ready).withColumn("x", vector_to_array("features")[0]).groupBy("prediction").agg(F.max("x").alias("high"), F.count("*").alias("n"))
+    found = leaves.withColumn("cut", F.expr("min(high) OVER ()")).withColumn("side", F.when(F.col("high") == F.col("cut"), "left").otherwise("right"))
+    return rounded(found.select("cut", "side", "n", "prediction"), 4, "prediction")
+
+
+@CHECKS.query(
+    "train_xgboost_classes_one_round",
+    f"""{_GROUPED}, s AS (SELECT x, sum(0.5 - y) AS g, 0.25 * count(*) AS h, count(*) AS n FROM g GROUP BY x),
+    w AS (SELECT sum(g) AS g, sum(h) AS h FROM s),
+    t AS (SELECT x, n, s.h + 2.0 AS h, sign(s.g) * greatest(abs(s.g) - 0.5, 0) AS t, w.h + 2.0 AS wh, sign(w.g) * greatest(abs(w.g) - 0.5, 0) AS wt FROM s, w),
+    c AS (SELECT *, sum(t * t / h) OVER () > wt * wt / wh AS split FROM t)
+    SELECT x, round(1 / (1 + exp(0.3 * CASE WHEN split THEN t / h ELSE wt / wh END)), 8) AS value, n FROM c""",
+)
+def _(spark, sf):
+    """From equal odds: one split if it gains more than its penalties cost, else the step of the whole."""
+    df = _binary(spark, sf)
+    params = {"n_estimators": 1, "max_depth": 1, "reg_lambda": 2.0, "reg_alpha": 0.5}
+    return _by_value(make_model("xgboost", "classification", params).fit(df, 2)(df), F.col("scores")[1], 8)
+
+
+@CHECKS.query(
+    "train_boosting_three_classes_one_round",
+    """WITH d AS (SELECT (o_totalprice > 150000)::INTEGER AS x, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y FROM orders),
+    p AS (SELECT k, (SELECT avg((y = k)::INTEGER) FROM d) AS p FROM (VALUES (0), (1), (2)) t(k)),
+    m AS (SELECT x, k, exp(ln(p) + 0.1 * 2 / 3 * sum((y = k)::INTEGER - p) / sum(p * (1 - p))) AS odds, count(*) AS n FROM d, p GROUP BY x, k, p)
+    SELECT x, k AS class, round(odds / sum(odds) OVER (PARTITION BY x), 8) AS score, n FROM m""",
+)
+def _(spark, sf):
+    """Each class has a tree of one split; a leaf is a Newton step of the multinomial loss from the classes' shares."""
+    status = F.expr("CASE o_orderstatus WHEN 'F' THEN 0.0D WHEN 'O' THEN 1.0D ELSE 2.0D END")
+    source = table(spark, sf, "orders").select(status.alias("label"), F.expr("cast(o_totalprice > 150000 as double)").alias("x"))
+    df = assemble(source, ["x"]).withColumn("x", vector_to_array("features")[0].cast("int"))
+    params = {"n_estimators": 1, "max_depth": 1, "multi_class": "softmax"}
+    predicted = make_model("gradient_boosting", "classification", params).fit(df, 3)(df)
+    scored = predicted.select("x", F.posexplode("scores").alias("class", "score"))
+    return rounded(scored.groupBy("x", "class").agg(F.max("score").alias("score"), F.count("*").alias("n")), 8, "score")
+
+
 @CHECKS.query(
     "prepare_data_stratified",
     """WITH n AS (SELECT dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS label, count(*) AS n FROM orders GROUP BY o_orderstatus)

@@ -173,3 +173,25 @@ def test_model_passes_all_parameters_on(spark, cells):
     rows = {int(r["row_key"]): r["prediction"] for r in model.fit(df, None, "row_key")(df).collect()}
     rule = Rule("squared", rounds=3, depth=2, reg_alpha=4.0, reg_lambda=2.0, gamma=1.0, min_child_weight=9.0)
     assert np.allclose([rows[i] for i in range(ROWS)], plain(x, y, rule, [y.mean()], 1)[:, 0], atol=1e-8)
+
+
+def test_margins_added_round_by_round_are_those_of_all_trees(spark, cells):
+    """Over several settlings: each round learns from the margins of all trees before it, to the last digit."""
+    x, y = cells
+    train = table(spark, x, y)
+    long = fit(train, Rule("squared", rounds=9, depth=2, subsample=0.7), key="row_key")
+    for rounds in (1, 4, 7):
+        short = fit(train, Rule("squared", rounds=rounds, depth=2, subsample=0.7), key="row_key")
+        assert [t.value for (t,) in short.trees] == [t.value for (t,) in long.trees[:rounds]]
+
+
+def test_prepared_rows_lie_on_all_cores(spark, small):
+    from tabulark.plans.experiment import prepare_data
+    from tabulark.plans.goals import default_feature_plan
+
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    data = prepare_data(orders, "o_orderstatus", "o_orderkey", default_feature_plan(3), "classification")
+    rows = data.train.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    data.release()
+    assert len(rows) == spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in rows) < 2 * sum(r["count"] for r in rows) / len(rows)

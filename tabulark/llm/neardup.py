@@ -408,6 +408,54 @@ def _all_pairs(docs: DataFrame, known: DataFrame, full: DataFrame, forest: Fores
     return written(found.distinct(), "links")
 
 
+def _shared_shingles(texts: DataFrame, forest: Forest) -> DataFrame:
+    """The shingles that texts of several components have: (row, id, component, size, shingle, shared, place), rarest first in each text."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                column = pa.array([unpack(x).decode() for x in part.column(3).to_pylist()], pa.large_string())
+                for block in blocks(column):
+                    values, start = shingle_sets(block, forest.words)
+                    size = np.diff(start)
+                    own = pa.array(np.repeat(np.arange(block.first, block.first + len(block)), size))
+                    columns = [part.column(i).take(own) for i in range(3)]
+                    columns += [pa.array(np.repeat(size, size)), pa.array(values.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "id", "component", "size", "shingle"])
+
+    found = texts.select("row", "id", "component", "packed").mapInArrow(emit, "row long, id long, component long, size long, shingle long")
+    found = written(found, "shingles")
+    common = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    found = found.join(common.filter("low <> high").select("shingle", "n"), "shingle")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("n", "shingle"))
+    return found.withColumn("place", place).withColumn("shared", F.count("*").over(Window.partitionBy("row")))
+
+
+def _remaining(docs: DataFrame, known: DataFrame, full: DataFrame, forest: Forest) -> DataFrame:
+    """Every link between texts of different components in crowds that the rounds left apart, by an exact prefix filter on the full sets.
+
+    A similar pair has at least ``percent`` hundredths of either set in common, all of it among the shingles that several components
+    have; so the first shingle of the two in the order of rarity stands in the first ``shared - least + 1`` of both. No number of
+    partners is limited; each pair of such a shingle that can still have enough in common is confirmed on the full sets.
+    """
+    members = written(_crowds(known, full, forest).select("id", "component").distinct(), "apart")
+    none = known.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    if members.isEmpty():
+        return none
+    texts = _packed(docs, members.select("id")).join(members, "id").withColumn("row", F.monotonically_increasing_id())
+    texts = written(texts, "texts")
+    least = F.ceil(F.col("size") * forest.percent / 100)
+    first = written(_shared_shingles(texts, forest).filter(F.col("place") <= F.col("shared") - least + 1), "prefixes")
+    ends = [first.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "component", "size", "shared", "place")]) for end in ("a", "b")]
+    both = ends[0].join(ends[1], "shingle").filter("id_a < id_b and component_a <> component_b")
+    needed = F.ceil((F.col("size_a") + F.col("size_b")) * forest.percent / (100 + forest.percent))
+    possible = F.least(F.col("shared_a") - F.col("place_a"), F.col("shared_b") - F.col("place_b")) + 1 >= needed
+    pairs = written(both.filter(possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "candidates")
+    return written(_confirmed(pairs, texts, forest).filter("similar").select("a", "b"), "links")
+
+
 def _links(docs: DataFrame, classes: DataFrame, forest: Forest, exact: bool) -> DataFrame:
     """Confirmed links between class representatives, enough to connect every confirmed pair that shares ``depth`` hashes in a tree."""
     alone = classes.withColumn("component", F.col("id"))
@@ -427,8 +475,11 @@ def _links(docs: DataFrame, classes: DataFrame, forest: Forest, exact: bool) ->
     done = done.unionByName(written(_confirmed(left.select("a", "b").distinct(), texts, forest), "confirmed"))
     done = done.filter("similar").select("a", "b")
     full = near.unionByName(others).filter("a is null").select("tree", "prefix").distinct()
-    crowded = _all_pairs if exact else _crowded
-    return done.unionByName(crowded(docs, _known(classes, components(done)), full, forest))
+    known = _known(classes, components(done))
+    if exact:
+        return done.unionByName(_all_pairs(docs, known, full, forest))
+    done = done.unionByName(_crowded(docs, known, full, forest))
+    return done.unionByName(_remaining(docs, _known(classes, components(done)), full, forest))
 
 
 def _known(classes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -126,6 +126,17 @@ def test_recall_in_crowds(spark, texts):
     assert found >= 0.9 * len(pairs) and all(want[i] == want[got[i]] for i in want)
 
 
+def test_rounds_that_find_nothing_lose_no_link(spark, monkeypatch):
+    """What the rounds leave apart is compared in full: even if they connect nothing, the result is that of all pairs."""
+    texts = mixed_crowd(300, 2)
+    texts |= {1000 + i: t for i, t in chain(60, 1).items()}
+    _, want = plain(texts, 2)
+    nothing = lambda docs, known, full, forest: known.selectExpr("id AS a", "id AS b").limit(0)
+    monkeypatch.setattr(neardup, "_crowded", nothing)
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    assert {r.id: r.component_id for r in neardup.near_duplicates(df, "id", "t", neardup.Forest(words=2)).collect()} == want
+
+
 def test_exact_option(spark):
     texts = mixed_crowd(120, 4)
     _, want = plain(texts, 2)

@@ -301,3 +301,28 @@ def test_loading(spark, small, tmp_path):
         load_named(spark, "absent", catalog)
     keyed = with_row_key(load_csv(spark, path))
     assert keyed.select("row_key").distinct().count() == 25
+
+
+@pytest.mark.parametrize("limit,rows", [(10, 0), (10_000, 1_000_000)])
+def test_long_texts_are_not_numbered_by_one_task(spark, monkeypatch, limit, rows):
+    from tabulark.operators import preprocess
+
+    texts = [f"{i % 40:03d}" * 5 if i % 7 else None for i in range(100)]
+    used, plain = [], preprocess.numbered
+    monkeypatch.setattr(preprocess, "HOT_GROUP_BYTES", limit)
+    monkeypatch.setattr(preprocess, "numbered", lambda df, by, order, name, hot: used.append(hot) or plain(df, by, order, name, hot))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r.t for r in preprocess.fit_encode_label(df, ["t"]).apply(df).collect()}
+    known = sorted({t or "None" for t in texts})
+    assert got == {i: known.index(t or "None") for i, t in enumerate(texts)} and used == [rows]
+
+
+def test_wide_onehot_makes_no_array_of_all_names(spark, tmp_path):
+    from workload import all_checks
+
+    rows = [(i, f"n{i % 50:02d}" if i % 9 else None) for i in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    found = all_checks()["encode_onehot_wide"].run(spark, str(tmp_path))
+    names = sorted({n for _, n in rows if n})
+    assert {r.c_custkey: r.slot for r in found.collect()} == {i: names.index(n) - 1 if n and n > names[0] else None for i, n in rows}
+    assert "array_position" not in found._jdf.queryExecution().toString()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabulark.functions.columns import numeric_columns
@@ -361,8 +360,9 @@ def _(spark, sf):
 def _(spark, sf):
     source = table(spark, sf, "customer").select("c_custkey", "c_name")
     vectors = fit_encode_onehot(source, ["c_name"], expand=False).apply(source)
-    slot = F.array_position(vector_to_array("c_name"), F.lit(1.0)) - 1
-    return vectors.select("c_custkey", F.when(slot >= 0, slot).cast("long").alias("slot"))
+    # The place of the one in the sparse vector; as an array each row would have a number for every name.
+    slot = F.get(F.unwrap_udt("c_name")["indices"], F.lit(0))
+    return vectors.select("c_custkey", slot.cast("long").alias("slot"))
 
 
 _SLOTS = """

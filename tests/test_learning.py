@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -80,6 +81,52 @@ def test_far_cells_are_not_visited(points):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_small_blocks_do_not_multiply_what_is_moved(spark, monkeypatch):
+    from tabulark.operators import knn
+
+    rng = np.random.RandomState(3)
+    points = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(600)], "id long, x array<double>")
+
+    def counted(*args):
+        return lambda queries, train: pa.table(
+            {"query_key": [queries.num_rows], "neighbour_key": [train.num_rows], "distance": [float(queries.num_rows)]}
+        )
+
+    plain = knn._block_join
+    monkeypatch.setattr(knn, "_block_join", counted)
+    blocks = knn_join(points, points, 3, "id", "id", "x", "x", exclude_self=True, block_rows=4, pivots=5).collect()
+    assert sum(r["query_key"] for r in blocks) <= 1200 and sum(r["neighbour_key"] for r in blocks) <= 1200
+    monkeypatch.setattr(knn, "_block_join", plain)
+    monkeypatch.setattr(knn, "_BLOCK_BYTES", 8 * 8 * 50)
+    monkeypatch.setattr(knn, "_ASKED", {"euclidean": 90})
+    cut = knn_join(points, points, 3, "id", "id", "x", "x", exclude_self=True, block_rows=4, pivots=5)
+    whole = knn_join(points, points, 3, "id", "id", "x", "x", exclude_self=True, pivots=1)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_manhattan_tiles_are_bounded(monkeypatch):
+    from tabulark.operators import knn
+
+    sizes, plain = [], knn._distances
+
+    def measured(a, b, metric, p):
+        sizes.append(len(a) * len(b))
+        return plain(a, b, metric, p)
+
+    monkeypatch.setattr(knn, "_distances", measured)
+    rng = np.random.RandomState(4)
+    x = rng.standard_normal((900, 3))
+    schema = pa.schema([("query_key", pa.int64()), ("neighbour_key", pa.int64()), ("distance", pa.float64())])
+    keys, vectors, zero = np.arange(900), pa.array(x.tolist()), np.zeros(900, "int32")
+    queries = pa.table({"_q": keys, "_v": vectors, "_visit": [[0]] * 900})
+    train = pa.table({"_t": keys, "_v": vectors, "_cell": zero})
+    found = knn._block_join(2, "manhattan", 1.0, True, [], schema, 1 << 20)(queries, train)
+    d = np.abs(x[:, None] - x[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert max(sizes) <= 1 << 16
+    assert found.column("neighbour_key").to_pylist() == np.argsort(d, axis=1, kind="stable")[:, :2].ravel().tolist()
+
+
 def test_fewer_rows_than_neighbours(points):
     few = points.filter("id < 3")
     found = knn_join(points.filter("id = 7"), few, 5, "id", "id", "x", "x")

@@ -195,3 +195,27 @@ def test_prepared_rows_lie_on_all_cores(spark, small):
     data.release()
     assert len(rows) == spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in rows) < 2 * sum(r["count"] for r in rows) / len(rows)
+
+
+def _queries(spark, train, rule, classes=2):
+    """How many SQL queries a fit plans."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    fit(train, rule, classes, "row_key")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return store.executionsCount() - before
+
+
+def test_a_pass_plans_no_query(spark, cells):
+    """The levels of all rounds are passes over kept blocks; more rounds plan no more queries."""
+    train = table(spark, *cells)
+    assert _queries(spark, train, Rule("squared", rounds=1, depth=1)) == _queries(spark, train, Rule("squared", rounds=5, depth=2))
+
+
+def test_blocks_of_few_rows_and_many_give_the_same(spark, cells, monkeypatch):
+    x, y = cells
+    train, rule = table(spark, x, y), Rule("squared", rounds=5, depth=3, subsample=0.7)
+    want = fit(train, rule, key="row_key").trees
+    monkeypatch.setattr(boosting, "_ROWS", 7)
+    assert all(np.allclose(a.value, b.value, atol=1e-9) and a.cut == b.cut for (a,), (b,) in zip(want, fit(train, rule, key="row_key").trees))

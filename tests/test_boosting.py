@@ -219,3 +219,11 @@ def test_blocks_of_few_rows_and_many_give_the_same(spark, cells, monkeypatch):
     want = fit(train, rule, key="row_key").trees
     monkeypatch.setattr(boosting, "_ROWS", 7)
     assert all(np.allclose(a.value, b.value, atol=1e-9) and a.cut == b.cut for (a,), (b,) in zip(want, fit(train, rule, key="row_key").trees))
+
+
+def test_rounds_of_three_classes_plan_no_query(spark, cells):
+    x, y = cells
+    train = table(spark, x, np.digitize(y, [6, 14]).astype(float))
+    more = {"by_count": True, "prior": True, "reg_lambda": 0.0}
+    counts = [_queries(spark, train, Rule("softmax", rounds=n, depth=2, **more), 3) for n in (1, 4)]
+    assert counts[0] == counts[1]

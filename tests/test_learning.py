@@ -409,3 +409,19 @@ def test_replanned_experiment_numbers_its_iterations(spark, ring):
     assert found == {(0, "logistic_regression", "initial"), (1, "random_forest", "replan")} | (
         {(2, "random_forest", "replan")} if outcome.iteration == 2 else set()
     )
+
+
+def test_small_linear_fits_take_few_tasks(spark, small):
+    """An iteration over a few rows is one task, and the folds of a trial run side by side with the same score."""
+    from tabulark.operators import models, tuning
+
+    rows = [(str(i), float(i % 3 == 0), [float(i % 7), float(i % 5)]) for i in range(60)]
+    train = spark.createDataFrame(rows, "row_key string, label double, x array<double>").repartition(8)
+    train = train.select("row_key", "label", array_to_vector("x").alias("features")).persist()
+    assert models._dense(train, 60).rdd.getNumPartitions() == 1
+    assert models._dense(train, 10**7).rdd.getNumPartitions() == 8
+    cores = spark.sparkContext.defaultParallelism
+    assert models.fits_at_once(train, "logistic_regression") == cores and models.fits_at_once(train, "random_forest") == 1
+    scores = [tuning.cross_val_score(train, "logistic_regression", "classification", {}, "accuracy", "row_key", 3, parallelism=p) for p in (1, 3)]
+    assert scores[0] == scores[1]
+    train.unpersist()
